@@ -2,22 +2,50 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.base import table, written
 from millrace.llm.dedup_exact import keep_first
+from millrace.llm.language import filter_languages
+from millrace.llm.packing import pack_documents
+from millrace.llm.pii import redact
 from millrace.llm.simhash import one_each
 
-STAGES = [
-    ("exact_dedup", lambda spark, docs, sf_dir: keep_first(docs)),
-    ("near_dedup", lambda spark, docs, sf_dir: one_each(docs)),
-]
 
-#: SQL can express neither the language model nor the hashing and packing stages.
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised."""
+    return filter_languages(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal normalised text, the one with the smallest doc_id."""
+    return keep_first(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that fingerprint links join, the one with the smallest doc_id."""
+    return one_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces with their places in sequences."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("personal_data", personal_data), ("packing", packing)]
+
+#: SQL can express neither the models nor the hashing and packing stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the documents table of sf_dir."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)

@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .base import table
+from .bpe import digest_documents
 from .dedup_exact import exact_groups
+from .language import identify
+from .packing import pack_documents
+from .pii import find_personal
 from .simhash import near_duplicates
 
 
+def op1_bpe(spark, sf_dir):
+    return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op7_exact_dedup)}
+def op9_pii(spark, sf_dir):
+    return find_personal(table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op7_exact_dedup, op9_pii, op10_language)}
 
 ORACLE = {
     "op7_exact_dedup": r"""
