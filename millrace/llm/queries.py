@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from .base import table
 from .bpe import digest_documents
@@ -11,6 +12,7 @@ from .dedup_exact import exact_groups
 from .language import identify
 from .packing import pack_documents
 from .pii import find_personal
+from .search import integer_vectors, top_k
 from .simhash import near_duplicates
 
 
@@ -33,6 +35,10 @@ def op4_chat(spark, sf_dir):
     return chat_digests(rows.unionByName(extra))
 
 
+def op5_topk(spark, sf_dir):
+    return top_k(integer_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -45,7 +51,7 @@ def op10_language(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op4_chat, op7_exact_dedup, op9_pii, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op4_chat, op5_topk, op7_exact_dedup, op9_pii, op10_language)}
 
 ORACLE = {
     "op4_chat": r"""
@@ -63,6 +69,18 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(head) + length(body) + 15) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op5_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20
 """,
     "op7_exact_dedup": r"""
 WITH t AS (
