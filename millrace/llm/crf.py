@@ -11,7 +11,7 @@ CELLS = 1 << 16
 
 
 class Crf:
-    """Features are strings; each position has the same number of them. An unseen feature has weight zero."""
+    """Features are strings; each position has the same number of them. Unseen and empty ones have weight zero."""
 
     def __init__(self, tags: Sequence[str]):
         self.tags = list(tags)
@@ -28,7 +28,7 @@ class Crf:
         """Adagrad on the penalised log-likelihood of all (features, tags); deterministic."""
         for feats, _ in sequences:
             for row in feats:
-                for f in row:
+                for f in filter(None, row):
                     self.index.setdefault(f, len(self.index) + 1)
         k = len(self.tags)
         self.weights = np.zeros((len(self.index) + 1, k))

@@ -9,6 +9,7 @@ from .base import table
 from .bpe import digest_documents
 from .chat import chat_digests
 from .dedup_exact import exact_groups
+from .html_text import extract
 from .language import identify
 from .packing import pack_documents
 from .pii import find_personal
@@ -39,6 +40,10 @@ def op5_topk(spark, sf_dir):
     return top_k(integer_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
 
 
+def op6_html(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_language(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op4_chat, op5_topk, op7_exact_dedup, op9_pii, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op4_chat, op5_topk, op6_html, op7_exact_dedup, op9_pii, op10_language)}
 
 ORACLE = {
     "op4_chat": r"""
