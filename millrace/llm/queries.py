@@ -11,6 +11,7 @@ from .chat import chat_digests
 from .dedup_exact import exact_groups
 from .html_text import extract
 from .language import identify
+from .lm import score_documents
 from .packing import pack_documents
 from .pii import find_personal
 from .search import integer_vectors, top_k
@@ -48,6 +49,10 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark, sf_dir):
     return find_personal(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_language(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op4_chat, op5_topk, op6_html, op7_exact_dedup, op9_pii, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op4_chat, op5_topk, op6_html, op7_exact_dedup, op8_lm, op9_pii, op10_language)}
 
 ORACLE = {
     "op4_chat": r"""
