@@ -1,13 +1,14 @@
-"""Shared helpers of the training-data operators: table access, written intermediate tables, skew-proof joins."""
+"""Shared helpers of the training-data operators: table access and skew-proof joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, written
+
+__all__ = ["held_out", "join_groups", "shared_dir", "table", "written"]
+
 #: A group counts as hot when it holds more than this share of all rows; so at most 1/HOT_SHARE groups are hot.
 HOT_SHARE = 0.002
 
@@ -16,25 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.millrace.test.dir", None)
-        if not found:
-            found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-            spark.conf.set("spark.millrace.test.dir", found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """rows joined to groups (one row a key, with its number of rows in `size`), however skewed the keys.
 
