@@ -83,11 +83,20 @@ def active_size(a: Array) -> Column:
     return F.size(F.filter(a, lambda x: x != 0))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once: a lambda's argument is bound, a repeated expression in one is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(z: Array, least: float = 1e-7) -> Array:
     """Probabilities by log-sum-exp, kept within [least, 1 - least]."""
-    top = F.array_max(z)
-    lse = top + F.log(F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
-    return F.transform(z, lambda x: F.least(F.greatest(F.exp(x - lse), F.lit(least)), F.lit(1 - least)))
+
+    def of(z: Array) -> Array:
+        exps = lambda top: F.transform(z, lambda x: F.exp(x - top))
+        share = lambda e: let(total(e), lambda s: F.transform(e, lambda x: F.least(F.greatest(x / s, F.lit(least)), F.lit(1 - least))))
+        return let(let(F.array_max(z), exps), share)
+
+    return let(z, of)
 
 
 def soft_threshold(x: Column, bound: Column) -> Column:
@@ -105,7 +114,7 @@ def gray_code(i: Column) -> Column:
 
 def argmax(a: Array) -> Column:
     """Position from 0 of the greatest element, the first of equal ones."""
-    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+    return let(a, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 LANCZOS_SHIFT = 8

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import graph, inputs, keyed, learning, metrics, vectors
+
+MODULES = (keyed, inputs, graph, vectors, metrics, learning)
+QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}
