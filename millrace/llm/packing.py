@@ -165,13 +165,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEM
         level += 1
         parts = -(-parts // FAN_IN)
 
-        def merge(frame: pd.DataFrame, level=level) -> pd.DataFrame:
-            b, o, fills = best_fit(frame.fill.to_numpy(), capacity)
-            at = int(frame.part.iloc[0])
-            return pd.DataFrame({"child": frame.bin, "bin": (level << 54) + (at << 24) + b, "offset": o, "fill": fills[b]})
-
         items_ = light.select((F.col("part") / FAN_IN).cast("long").alias("part"), F.explode("b").alias("x")).select("part", "x.bin", "x.fill")
-        moved = written(items_.groupBy("part").applyInPandas(merge, "child long, bin long, offset long, fill long"), "merged")
+        moved = written(items_.groupBy("part").applyInPandas(_merging(level, capacity), "child long, bin long, offset long, fill long"), "merged")
         bins = moved.groupBy("bin").agg(F.max("fill").alias("fill"))
         if moves is None:
             moves = moved.select("child", "bin", "offset")
@@ -185,6 +180,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEM
     return out.select(*keys, F.col("bin").alias("sequence_id"), "offset")
 
 
+def _merging(level: int, capacity: int):
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        b, o, fills = best_fit(frame.fill.to_numpy(), capacity)
+        at = int(frame.part.iloc[0])
+        return pd.DataFrame({"child": frame.bin, "bin": (level << 54) + (at << 24) + b, "offset": o, "fill": fills[b]})
+
+    return merge
+
+
 def pack_documents(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, part_items: int = PART_ITEMS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece of docs (doc_id, text).
 
