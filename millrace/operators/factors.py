@@ -54,3 +54,8 @@ def fit(cells: DataFrame, rank: int, epochs: int, rate: float, penalty: float =
         right = written(stepped(right, gradient(errors, "col", "l", right, penalty), rate, top), "right")
         left = new_left
     return left, right
+
+
+def printed(factors: DataFrame) -> DataFrame:
+    """id and its factors as one line of text."""
+    return factors.select("id", F.array_join(F.transform("f", lambda x: x.cast("string")), " ").alias("line"))

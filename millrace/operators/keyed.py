@@ -35,6 +35,16 @@ def multi_get(table: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     return table.join(keys.select(key), key, "left_semi")
 
 
+def used_keys(rows: DataFrame, keys: str, key: str = "key") -> DataFrame:
+    """The distinct keys in an array column of rows: what a batch needs of a model."""
+    return rows.select(F.explode(keys).alias(key)).distinct()
+
+
+def pull(model: DataFrame, rows: DataFrame, keys: str, key: str = "key") -> DataFrame:
+    """The model's rows that a batch's key arrays name; a semi-join, so no more of the model moves."""
+    return multi_get(model, used_keys(rows, keys, key), key)
+
+
 def get_or_init(table: DataFrame, keys: DataFrame, init: dict[str, Column], key: str = "key") -> tuple[DataFrame, DataFrame]:
     """(the asked rows, the table after the call): init gives the columns of a key that the table lacks."""
     asked = keys.select(key).distinct()

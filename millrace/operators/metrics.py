@@ -48,3 +48,8 @@ def timer(records: DataFrame, seconds: str, elements: str) -> DataFrame:
     total = F.coalesce(F.sum(seconds), F.lit(0.0))
     per = lambda n: F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(float("inf"))).otherwise(total / n)
     return records.agg(total.alias("total"), per(F.count(seconds)).alias("per_record"), per(F.sum(elements)).alias("per_element"))
+
+
+def all_true(records: DataFrame, flag: str) -> DataFrame:
+    """Whether every record has the flag; true for none."""
+    return records.agg(F.coalesce(F.bool_and(flag), F.lit(True)).alias("all"))

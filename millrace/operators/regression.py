@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -63,23 +63,66 @@ def softmax_evaluation(rows: DataFrame, weights: Matrix, penalty: float = 0.0, f
     return with_p.agg(F.count("*").alias("n"), loss.alias("loss"), (loss + F.lit(l2)).alias("penalised"), F.avg((V.argmax(F.col("p")) == F.col(label)).cast("double")).alias("accuracy"))
 
 
-def fit_softmax(rows: DataFrame, classes: int, features_n: int, epochs: int, step: float, penalty: float = 0.0, decay: float = 1.0, decay_every: int = 1, features: str = "x", label: str = "label", start: Matrix | None = None) -> list[list[float]]:
-    """Weights after full-batch gradient steps on the mean loss; step shrinks by decay every decay_every epochs."""
+def fit_softmax(
+    rows: DataFrame, classes: int, features_n: int, epochs: int, step: float, penalty: float = 0.0, decay: float = 1.0, decay_every: int = 1,
+    features: str = "x", label: str = "label", start: Matrix | None = None, block: str | None = None, history: list | None = None,
+) -> list[list[float]]:
+    """Weights after gradient steps on the mean loss; step shrinks by decay every decay_every epochs.
+
+    With block an epoch takes a step on each block's rows, in order; else one on all rows. history gets a copy of the
+    weights after each epoch, for evaluate_epochs.
+    """
     if not 0 < decay <= 1 or decay_every < 1:
         raise ValueError("decay must be in (0, 1] and decay_every positive")
     w = [list(r) for r in start] if start else [[0.0] * features_n for _ in range(classes)]
-    rows = rows.select(features, label).persist()
+    rows = rows.select(features, label, *([block] if block else [])).persist()
     try:
-        n = rows.count()
+        sizes = {r[0]: r[1] for r in (rows.groupBy(block).count().collect() if block else [(None, rows.count())])}
         for epoch in range(epochs):
             rate = step * decay ** ((epoch + 1) // decay_every)
-            for r in softmax_gradient(rows, w, features, label).collect() if n else []:
-                w[r["class"]][r.feature] -= rate * (r.g / n + penalty * w[r["class"]][r.feature])
+            for key, n in sorted(sizes.items(), key=lambda kv: (kv[0] is not None, kv[0])):
+                batch = rows.where(F.col(block).eqNullSafe(F.lit(key))) if block else rows
+                for r in softmax_gradient(batch, w, features, label).collect() if n else []:
+                    w[r["class"]][r.feature] -= rate * (r.g / n + penalty * w[r["class"]][r.feature])
+            if history is not None:
+                history.append([list(r) for r in w])
     finally:
         rows.unpersist()
     return w
 
 
+def weight_rows(spark: SparkSession, history: Sequence[Matrix]) -> DataFrame:
+    """epoch, class, w: the models of a training run as a table, to be written and evaluated later."""
+    return spark.createDataFrame([(e, c, [float(x) for x in row]) for e, m in enumerate(history) for c, row in enumerate(m)], "epoch int, class int, w array<double>")
+
+
+def evaluate_epochs(rows: DataFrame, weights: DataFrame, features: str = "x", label: str = "label") -> DataFrame:
+    """epoch, n, loss, accuracy of every model of a table of weight_rows, in one pass over the data.
+
+    The models are epochs times classes rows, so they come to the driver and travel with the tasks.
+    """
+    models: dict[int, list] = {}
+    for r in weights.orderBy("epoch", "class").collect():
+        models.setdefault(r.epoch, []).append(r.w)
+    stacked = {e: np.array(m) for e, m in models.items()}
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {e: np.zeros(3) for e in stacked}
+        for frame in frames:
+            if len(frame):
+                x, y = np.stack(frame["x"].to_numpy()).astype(float), frame["y"].to_numpy()
+                for e, w in stacked.items():
+                    z = x @ w.T
+                    p = np.exp(z - z.max(1, keepdims=True))
+                    p = np.clip(p / p.sum(1, keepdims=True), 1e-7, 1 - 1e-7)
+                    sums[e] += (len(y), -np.log(p[np.arange(len(y)), y]).sum(), (p.argmax(1) == y).sum())
+        yield pd.DataFrame([(e, *s) for e, s in sums.items()], columns=["epoch", "n", "loss", "right"])
+
+    inputs = rows.select(F.col(features).alias("x"), F.col(label).cast("int").alias("y"))
+    parts = inputs.mapInPandas(partial, "epoch int, n double, loss double, right double")
+    return parts.groupBy("epoch").agg(F.sum("n").cast("bigint").alias("n"), F.sum("loss").alias("loss"), (F.sum("right") / F.sum("n")).alias("accuracy"))
+
+
 def normal_sums(rows: DataFrame, features: list[str], target: str) -> DataFrame:
     """(i, j, v): sums of products of the feature columns; column len(features) is the target."""
     names = [*features, target]

@@ -47,6 +47,18 @@ def kv_get(spark, sf_dir):
     return K.get(_orders(spark, sf_dir), 7)
 
 
+@R.query("SELECT p_partkey AS key, p_brand AS val FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 50 = 0)")
+def kv_pull(spark, sf_dir):
+    """The part rows that a batch of orders' key lists name."""
+    batch = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("keys"))
+    return K.pull(_parts(spark, sf_dir), batch, "keys")
+
+
+@R.query("SELECT DISTINCT l_partkey AS key FROM lineitem")
+def kv_used_keys(spark, sf_dir):
+    return K.used_keys(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("keys")), "keys")
+
+
 ASKED = "SELECT DISTINCT l_partkey + 3 AS key FROM lineitem WHERE l_quantity > 45"
 PARTS = "SELECT p_partkey AS key, p_brand AS val FROM part"
 

@@ -49,6 +49,13 @@ def ml_softmax_training(spark, sf_dir):
     return L.softmax_evaluation(rows, w, 0.005)
 
 
+@R.query(SCORES + "SELECT CAST(0 AS INTEGER) AS epoch, count(*) AS n, round(sum(-ln(p)), 4) AS loss FROM p WHERE c = label")
+def ml_softmax_epochs(spark, sf_dir):
+    """A saved model's loss, as offline evaluation gives it for each epoch."""
+    out = L.evaluate_epochs(_vectors(spark, sf_dir), L.weight_rows(spark, [WEIGHTS]))
+    return out.select("epoch", "n", F.round("loss", 4).alias("loss"))
+
+
 FEATURES, TARGET = ["l_quantity", "l_discount", "l_tax"], "price"
 
 
@@ -177,6 +184,13 @@ def ml_topic_word_likelihood(spark, sf_dir):
     return D.word_likelihood(_tokens(spark, sf_dir), 50_000, BETA).select(F.round("llh", 1).alias("llh"))
 
 
+@R.query(TOKENS + ", d AS (SELECT word, topic, 1 AS n FROM t UNION ALL SELECT word, (topic + length(word) % 2) % 10, -1 FROM t) SELECT word, topic, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY ALL HAVING sum(n) <> 0")
+def ml_topic_changes(spark, sf_dir):
+    after = _tokens(spark, sf_dir)
+    before = after.withColumn("topic", ((F.col("topic") + F.length("word") % 2) % TOPICS).cast("int"))
+    return D.changes(before, after)
+
+
 @R.query()
 def ml_topic_sweep(spark, sf_dir):
     """One sweep of the sampler over the short documents' tokens, as counts by topic."""

@@ -93,6 +93,11 @@ def ranges_complement(spark, sf_dir):
     return G.complement(_pairs(spark, sf_dir)).select("id", "lo", "hi")
 
 
+@R.query('SELECT bool_and(l_quantity > 0) AS "all" FROM lineitem')
+def metrics_all_true(spark, sf_dir):
+    return M.all_true(table(spark, sf_dir, "lineitem").select((F.col("l_quantity") > 0).alias("flag")), "flag")
+
+
 EVALUATORS = "SELECT s_suppkey AS id, (s_suppkey % 7 + 1) * 1.0::DOUBLE AS throughput, (s_suppkey % 5 + 1) * 10.0::DOUBLE AS bandwidth FROM supplier WHERE s_suppkey <= 24"
 
 

@@ -20,7 +20,12 @@ def test_softmax_at_zero_and_training(spark):
     for c in L.softmax_gradient(rows, zero).collect():
         g.setdefault(c.feature, []).append(c.g)
     assert all(abs(sum(v)) < 1e-9 for v in g.values())
-    w = L.fit_softmax(rows, 3, 3, epochs=20, step=1.0)
+    history = []
+    w = L.fit_softmax(rows, 3, 3, epochs=20, step=1.0, history=history)
+    epochs = {r.epoch: r.loss for r in L.evaluate_epochs(rows, L.weight_rows(spark, history)).collect()}
+    assert len(epochs) == 20 and epochs[19] < epochs[0] and math.isclose(epochs[19], L.softmax_evaluation(rows, w).first().loss, rel_tol=1e-9)
+    blocks = L.fit_softmax(rows.withColumn("b", F.col("label") * 0 + (F.hash("x") % 2)), 3, 3, epochs=3, step=0.5, block="b")
+    assert L.softmax_evaluation(rows, blocks).first().accuracy > 0.8
     assert L.softmax_evaluation(rows, w).first().accuracy > 0.9
 
 
