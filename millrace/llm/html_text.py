@@ -32,7 +32,8 @@ SCOPES = frozenset(("ul", "ol", "dl", "table", "html", "menu", "select"))
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|iframe|object|math)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)", re.S | re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
-FEATURES = 22
+#: Elements that name a part of the page by themselves.
+PARTS = frozenset(("article", "main", "aside", "nav", "header", "footer", "form", "table", "figure"))
 
 
 def blocks(page: str) -> list[tuple[tuple, str, float]]:
@@ -100,11 +101,13 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
 
 @lru_cache(1 << 14)
 def _path_features(path: tuple) -> tuple:
-    tags = list(dict.fromkeys(t for t, _ in path if t not in ("html", "body")))[-7:]
-    names = list(dict.fromkeys(w for _, ws in path for w in ws))[-7:]
+    tags = list(dict.fromkeys(t for t, _ in path if t not in ("html", "body")))[-6:]
+    names = list(dict.fromkeys(w for _, ws in path for w in ws))[-6:]
     last = path[-1][0] if path else "none"
-    row = [f"t={last}", *(f"a={t}" for t in tags), *(f"w={w}" for w in names)]
-    return tuple(row + [""] * (15 - len(row)))
+    near = next((ws for _, ws in reversed(path) if ws), ())
+    part = next(((t, ws) for t, ws in reversed(path) if t in PARTS or ws), ("none", ()))
+    row = [f"t={last}", f"d={part[0]}|{bool(part[1])}", *(f"a={t}" for t in tags), *(f"w={w}" for w in names), *(f"n={w}" for w in near[:3])]
+    return tuple(row + [""] * (17 - len(row)))
 
 
 # Words of notices and forms.
@@ -117,14 +120,14 @@ def features(parts: list[tuple[tuple, str, float]]) -> list[list[str]]:
     for path, text, share in parts:
         size = len(text)
         bucket = next(k for k, top in enumerate((12, 30, 60, 120, 300, float("inf"))) if size <= top)
-        rows.append([*_path_features(path), f"n={bucket}", f"l={int(share * 3 + 0.5)}", f"s={bool(SENTENCE.search(text[-3:]))}", f"c={size < 400 and bool(CUES.search(text))}", f"tn={path[-1][0] if path else 'none'}|{bucket}", "bias", ""])
+        rows.append([*_path_features(path), f"z={bucket}", f"l={int(share * 3 + 0.5)}", f"s={bool(SENTENCE.search(text[-3:]))}", f"c={size < 400 and bool(CUES.search(text))}", f"tn={path[-1][0] if path else 'none'}|{bucket}", "bias"])
     return rows
 
 
 MARK = "\ue000"
 
 
-def labelled_pages(n: int = 160, seed: int = 5) -> Iterator[str]:
+def labelled_pages(n: int = 240, seed: int = 5) -> Iterator[str]:
     """Pages in which MARK stands in each block of the article."""
     r = random.Random(seed)
     stems = "al be cor du en fa gri ho is jun kel lo mar nu or pa qui ro sta tu ver wi xe yo zan".split()
@@ -200,9 +203,9 @@ def labelled_pages(n: int = 160, seed: int = 5) -> Iterator[str]:
         title = f"<h1>{MARK}{words(2, 9)}</h1>" if r.random() < 0.9 else ""
         body = [paragraph() for _ in range(r.randint(1, 9))]
         for part in (advert, side, notice):
-            if r.random() < 0.15:
+            if r.random() < 0.25:
                 body.insert(r.randint(0, len(body)), part())
-        after = comments() if r.random() < 0.2 else ""
+        after = comments() if r.random() < 0.4 else ""
         inner = title + "".join(body) + after
         name = r.choice(("content", "article", "post", "entry", "story", "main-content", "article-body", "text"))
         return r.choice((f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", f'<div class="{name}">{inner}</div>', f'<div id="{name}">{inner}</div>', f'<article class="{name}">{inner}</article>', f'<div role="main">{inner}</div>'))
