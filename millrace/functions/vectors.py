@@ -1,10 +1,14 @@
 """Dense vectors as array columns, sparse ones as index and value arrays, matrices as rows (i, j, v).
 
-All are column expressions or joins and aggregates, so they stay in generated code; arithmetic is in double.
+All but gram are column expressions or joins and aggregates, so they stay in generated code; arithmetic is in double.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,10 +154,24 @@ def times(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(right, a["j"] == right["_k"]).groupBy("i", F.col("_j").alias("j")).agg(F.sum(F.col("v") * F.col("_v")).alias("v"))
 
 
-def gram(m: DataFrame, vector: str, n: int) -> DataFrame:
-    """(i, j, v) of the sum of x x^T over all rows x: one pass, no join; n * n sums meet before the shuffle."""
-    pairs = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(i.alias("i"), j.alias("j"), (_d(F.get(vector, i)) * _d(F.get(vector, j))).alias("v"))))))
-    return m.select(pairs.alias("e")).groupBy("e.i", "e.j").agg(F.sum("e.v").alias("v"))
+def gram(rows: DataFrame, vector: str, n: int) -> DataFrame:
+    """(i, j, v) of the sum of x x^T over all rows x of n elements: one pass, no join.
+
+    Each partition adds up its batches as matrix products, so n * n sums a partition are shuffled; as expressions the
+    same takes n * n rows for every row.
+    """
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((n, n))
+        for frame in frames:
+            if len(frame):
+                x = np.stack(frame["x"].to_numpy()).astype(float)
+                total += x.T @ x
+        i, j = np.indices(total.shape)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+
+    whole = rows.where(F.size(vector) == n).select(F.col(vector).alias("x"))
+    return whole.mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def cell_wise(a: DataFrame, b: DataFrame, op: str) -> DataFrame:

@@ -116,11 +116,37 @@ def count_increments(counts: DataFrame, deltas: DataFrame, keys: list[str], valu
     return both.select(*keys, F.greatest(F.coalesce(value, F.lit(0)) + F.coalesce("_d", F.lit(0)), F.lit(0)).alias(value)).where(F.col(value) > 0)
 
 
+#: Pushes of a key that are listed together.
+CHUNK = 4096
+
+
 def clipped_steps(table: DataFrame, pushes: DataFrame, order: list[str], rate: float, top: float, value: str = "val", key: str = "key") -> DataFrame:
-    """Each key's value after its pushes in order, each a projected step clip(old - rate * push, 0, top)."""
-    listed = pushes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_g")))).alias("_u"))
-    clip = lambda acc, u: F.least(F.greatest(acc - F.lit(rate) * u["_g"], F.lit(0.0)), F.lit(top))
-    return table.join(listed, key, "left").select(key, F.when(F.col("_u").isNull(), F.col(value)).otherwise(F.aggregate("_u", F.col(value).cast("double"), clip)).alias(value))
+    """Each key's value after its pushes in order, each a projected step clip(old - rate * push, 0, top).
+
+    Steps compose to functions of one form, x -> clip(x + c, lo, hi), so a key's pushes are folded in chunks by rank
+    and the chunks in order: a hot key is sorted, but never listed as a whole.
+    """
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order, value))
+    chunks = pushes.select(key, ((rank - 1) / CHUNK).cast("bigint").alias("_c"), rank.alias("_r"), F.col(value).cast("double").alias("_g"))
+    inf = float("inf")
+    clip = lambda x, lo, hi: F.least(F.greatest(x, lo), hi)
+    form = lambda c, lo, hi: F.struct(c.alias("c"), lo.alias("lo"), hi.alias("hi"))
+    first = form(F.lit(0.0), F.lit(-inf), F.lit(inf))
+    zero, most = F.lit(0.0), F.lit(float(top))
+
+    def push(f: Column, g: Column) -> Column:
+        d = -F.lit(rate) * g
+        return form(f["c"] + d, clip(f["lo"] + d, zero, most), clip(f["hi"] + d, zero, most))
+
+    def then(f: Column, g: Column) -> Column:
+        return form(f["c"] + g["c"], clip(f["lo"] + g["c"], g["lo"], g["hi"]), clip(f["hi"] + g["c"], g["lo"], g["hi"]))
+
+    folded = chunks.groupBy(key, "_c").agg(F.array_sort(F.collect_list(F.struct("_r", "_g"))).alias("_l"))
+    folded = folded.select(key, "_c", F.aggregate(F.transform("_l", lambda x: x["_g"]), first, push).alias("_f"))
+    whole = folded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_c", "_f"))).alias("_l"))
+    whole = whole.select(key, F.aggregate(F.transform("_l", lambda x: x["_f"]), first, then).alias("_f"))
+    out = clip(F.col(value).cast("double") + F.col("_f.c"), F.col("_f.lo"), F.col("_f.hi"))
+    return table.join(whole, key, "left").select(key, F.when(F.col("_f").isNull(), F.col(value)).otherwise(out).alias(value))
 
 
 def block_statistics(table: DataFrame, block: str = "block_id") -> DataFrame:

@@ -82,3 +82,17 @@ def test_checkpoint_round_trip(spark, tmp_path):
 def test_replay(spark):
     log = spark.createDataFrame([(1, "put", "a", 1), (1, "remove", None, 2), (2, "put", "b", 1), (2, "put", "c", 2)], "key long, op string, val string, seq int")
     assert as_dict(K.replay(log, "op", ["seq"])) == {2: "c"}
+
+
+def test_clipped_steps_in_chunks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(K, "CHUNK", 3)
+    r = random.Random(1)
+    pushes = [(k, t, r.randint(-8, 8) / 4) for k in range(3) for t in range(20 * k)]
+    start = spark.createDataFrame([(k, 0.5) for k in range(4)], "key long, val double")
+    got = as_dict(K.clipped_steps(start, spark.createDataFrame(pushes, "key long, t int, val double"), ["t"], 0.5, 1.0))
+    want = dict.fromkeys(range(4), 0.5)
+    for k, _, g in pushes:
+        want[k] = min(max(want[k] - 0.5 * g, 0.0), 1.0)
+    assert got == want
