@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
+
 
 def read_lines(spark: SparkSession, path: str | list[str], separator: str | None = None, partitions: int | None = None) -> DataFrame:
     """value: the lines of text files, compressed or not; partitions asks for at least so many input splits."""
@@ -47,15 +49,24 @@ def parse_sparse_rows(lines: DataFrame, column: str = "value", label_type: str =
     classes: labels must be whole numbers from 0 to classes - 1.
     """
     rows = data_lines(lines, column, trim=True)
-    fields = F.split(column, r"\s+")
-    pairs = F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0)))
-    label = F.try_element_at(fields, F.lit(1)).try_cast(label_type)
-    number = lambda k, kind: F.transform(pairs, lambda p: F.try_element_at(F.split(p, ":"), F.lit(k)).try_cast(kind))
-    rows = rows.select("*", label.alias("label"), number(1, "int").alias("idx"), number(2, "float").alias("val"))
-    ok = F.col("label").isNotNull() & ~F.exists("idx", F.isnull) & ~F.exists("val", F.isnull)
-    if classes is not None:
-        ok = ok & (F.col("label") >= 0) & (F.col("label") < classes)
-    return rows.where(_check(ok, F.col(column), "not a labelled row", strict)).drop(column)
+
+    def parsed(f: Column) -> Column:
+        places = F.when(F.size(f) > 2, F.sequence(F.lit(1), F.size(f) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        idx = F.transform(places, lambda k: F.get(f, k).try_cast("int"))
+        val = F.transform(places, lambda k: F.get(f, k + 1).try_cast("float"))
+        return F.struct((F.size(f) % 2 == 1).alias("paired"), F.get(f, F.lit(0)).try_cast(label_type).alias("label"), idx.alias("idx"), val.alias("val"))
+
+    def checked(p: Column) -> Column:
+        ok = p["paired"] & p["label"].isNotNull() & ~F.exists(p["idx"], F.isnull) & ~F.exists(p["val"], F.isnull)
+        if classes is not None:
+            ok = ok & (p["label"] >= 0) & (p["label"] < classes)
+        good = F.when(ok, p)
+        return good.otherwise(F.raise_error(F.concat(F.lit("not a labelled row: "), F.col(column)))) if strict else good
+
+    # One value for each line, each step bound once: a filter on the parts would parse every line again for each.
+    rows = rows.withColumn("_p", let(let(F.split(column, r"[\s:]+"), parsed), checked))
+    rows = rows if strict else rows.where("_p is not null")
+    return rows.select(*[c for c in lines.columns if c != column], "_p.label", "_p.idx", "_p.val")
 
 
 def parse_feature_types(lines: DataFrame, features: int, column: str = "value") -> DataFrame:
