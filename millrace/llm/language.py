@@ -80,10 +80,9 @@ def counts(texts: list[str]) -> np.ndarray:
         grams, bounds = ngrams(some)
         for n, g in zip(ORDERS, grams):
             lo, hi = _spans(bounds, n)
-            inside = np.zeros(len(g) + 1, np.int8)
-            np.add.at(inside, lo[lo < hi], 1)
-            np.add.at(inside, hi[lo < hi], -1)
-            total += np.bincount(g[np.cumsum(inside[:-1]) > 0], minlength=1 << BITS)
+            # A space between two texts counts for both.
+            starts = np.bincount(lo[lo < hi], minlength=len(g) + 1) - np.bincount(hi[lo < hi], minlength=len(g) + 1)
+            total += np.bincount(g, np.cumsum(starts)[: len(g)], 1 << BITS).astype(np.int64)
     return total
 
 
