@@ -140,7 +140,7 @@ def exact_groups(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     Other columns of docs are ignored. hash_bits: fewer bits make collisions, which are resolved; for tests.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = written(docs.mapInArrow(_recipe_rows(hash_bits), RECIPE), "recipes").withColumn("ordinals", F.lit(None).cast("array<int>"))
+    own = written(docs.mapInArrow(_recipe_rows(hash_bits), RECIPE), "recipes").withColumn("ordinals", F.lit(None).cast("array<bigint>"))
     contents = docs.mapInArrow(_chunk_rows(hash_bits), CHUNK).select("h", "length", "chunk").distinct()
     shared = written(contents.groupBy("h", "length").agg(F.count("*").alias("contents")).where("contents > 1"), "collisions")
     if not shared.isEmpty():
@@ -165,7 +165,7 @@ def _with_ordinals(own: DataFrame, docs: DataFrame, shared: DataFrame, bits: int
     # A document's chunk is found again by its place; documents that share an id are told apart by their text's digest.
     at = docs.mapInArrow(_chunk_rows_with_digest(bits), CHUNK + ", text_sha256 string").join(rank, ["h", "length", "chunk"]).select("doc_id", "text_sha256", "pos", "ordinal").distinct()
     lists = per_chunk.join(at, ["doc_id", "text_sha256", "pos"]).groupBy("doc_id", "text_sha256").agg(F.sort_array(F.collect_list(F.struct("pos", "ordinal"))).alias("o"))
-    lists = lists.select("doc_id", "text_sha256", F.transform("o", lambda x: x["pos"] * 65536 + x["ordinal"]).alias("ordinals"))
+    lists = lists.select("doc_id", "text_sha256", F.transform("o", lambda x: x["pos"].cast("bigint") * (1 << 31) + x["ordinal"]).alias("ordinals"))
     return written(own.drop("ordinals").join(lists, ["doc_id", "text_sha256"], "left"), "recipes")
 
 
