@@ -13,8 +13,14 @@ __all__ = ["held_out", "join_groups", "shared_dir", "table", "written"]
 HOT_SHARE = 0.002
 
 
+#: Tables of fewer bytes are dealt evenly over all cores: they may be one row group, which is one task.
+SMALL = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size < SMALL else rows
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
