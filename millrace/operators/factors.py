@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..sources.shared import written
+from ..sources.shared import discard, written
 
 
 def with_errors(cells: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -51,8 +51,10 @@ def fit(cells: DataFrame, rank: int, epochs: int, rate: float, penalty: float =
     for _ in range(epochs):
         errors = with_errors(cells, left, right)
         new_left = written(stepped(left, gradient(errors, "row", "r", left, penalty), rate, top), "left")
-        right = written(stepped(right, gradient(errors, "col", "l", right, penalty), rate, top), "right")
-        left = new_left
+        new_right = written(stepped(right, gradient(errors, "col", "l", right, penalty), rate, top), "right")
+        discard(left)
+        discard(right)
+        left, right = new_left, new_right
     return left, right
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import discard, written
 
 #: Vertices are written after so many supersteps.
 EVERY = 4
@@ -35,7 +35,7 @@ def run_supersteps(
     """
     edges = written(edges, "edges")
     vertices = vertices if "active" in vertices.columns else vertices.withColumn("active", F.lit(True))
-    vertices = written(vertices, "vertices")
+    vertices = kept = written(vertices, "vertices")
     step = 0
     while steps is None or step < steps:
         senders = vertices.where("active") if only_active else vertices
@@ -47,6 +47,8 @@ def run_supersteps(
         step += 1
         if steps is None or step % EVERY == 0 and step < steps:
             vertices = written(vertices, "vertices")
+            discard(kept)
+            kept = vertices
     return vertices
 
 

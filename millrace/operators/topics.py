@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import log_gamma
-from ..sources.shared import written
+from ..sources.shared import discard, written
 
 
 def initial_topics(tokens: DataFrame, topics: int, seed: int) -> DataFrame:
@@ -82,5 +82,6 @@ def sweep(tokens: DataFrame, topics: int, alpha: float, beta: float, vocabulary:
 def fit(tokens: DataFrame, topics: int, sweeps: int, alpha: float, beta: float, vocabulary: int, seed: int = 0) -> DataFrame:
     state = written(initial_topics(tokens, topics, seed), "topics")
     for k in range(sweeps):
-        state = written(sweep(state, topics, alpha, beta, vocabulary, seed + k + 1), "topics")
+        before, state = state, written(sweep(state, topics, alpha, beta, vocabulary, seed + k + 1), "topics")
+        discard(before)
     return state

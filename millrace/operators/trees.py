@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import discard, written
 
 BUCKETS = 256
 #: Up to so many categories all subsets are tried; beyond, the prefixes in order of mean gradient.
@@ -131,7 +131,9 @@ def grow(rows: DataFrame, continuous: list[bool], depth: int = 5, leaf_min: int
         move = F.lit(-1)
         for node in found:
             move = F.when(F.col("node") == node, F.when(tree.goes_left(node, features), 2 * node + 1).otherwise(2 * node + 2)).otherwise(move)
-        state = written(state.withColumn("node", move), "rows")
+        before, state = state, written(state.withColumn("node", move), "rows")
+        discard(before)
+    discard(state)
     return tree
 
 
