@@ -13,6 +13,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -73,6 +74,12 @@ class ByteBpe:
         return b"".join(out)
 
 
+@lru_cache(2)
+def loaded(tokenizer_json: str) -> ByteBpe:
+    """One for each worker process, so that its remembered words outlast a task."""
+    return ByteBpe(tokenizer_json)
+
+
 #: A space that does not stand between two other characters that are not white space.
 UNEVEN = re.compile(r"\s | (?=\s|$)")
 # Fixed value: the pattern by which byte-level vocabularies of this kind cut words.
@@ -93,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_i
     """One row a piece: each document's ids and end_id, in pieces of capacity of which the first may be shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = ByteBpe(tokenizer_json), array("I", [end_id]).tobytes()
+        bpe, end = loaded(tokenizer_json), array("I", [end_id]).tobytes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -104,9 +111,9 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_i
                     size = (n - at) % capacity or capacity
                     rows.append((doc_id, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
                     at, k = at + size, k + 1
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"piece": "int32"}), schema=SCHEMA, preserve_index=False)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, PIECES)
 
@@ -146,14 +153,17 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEM
     spark = items.sparkSession
     ready = items.withColumn("part", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(parts)).cast("long"))
 
-    def first(frame: pd.DataFrame) -> pd.DataFrame:
-        b, o, fills = best_fit(frame.length.to_numpy(), capacity)
-        part = int(frame.part.iloc[0])
-        # Bins are numbered by round (6 bits), part and place, so that numbers never meet.
-        return frame.drop(columns="part").assign(bin=(part << 24) + b, offset=o, fill=fills[b])
+    def first(rows: pa.Table) -> pa.Table:
+        b, o, fills = best_fit(rows.column("length").to_numpy(), capacity)
+        # Bins are numbered by round (from bit 54), part (from bit 24) and place, so that numbers never meet.
+        part = rows.column("part")[0].as_py() << 24
+        out = rows.drop_columns("part")
+        for name, values in (("bin", part + b), ("offset", o), ("fill", fills[b])):
+            out = out.append_column(name, pa.array(values, pa.int64()))
+        return out
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    placed = written(ready.groupBy("part").applyInPandas(first, f"{kinds}, bin long, offset long, fill long"), "packed")
+    placed = written(ready.groupBy("part").applyInArrow(first, f"{kinds}, bin long, offset long, fill long"), "packed")
     bins = placed.groupBy("bin").agg(F.max("fill").alias("fill"))
     moves: DataFrame | None = None
     level = 0

@@ -62,6 +62,8 @@ def test_pieces_and_sequences(spark, items):
         for p in own.itertuples():
             assert zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32
     check_layout(out)
+    large = spark.createDataFrame([(2**62 + 1, "a"), (None, "b")], "doc_id long, text string")
+    assert {r.doc_id for r in P.pack_documents(large, BYTE).collect()} == {2**62 + 1, None}
     assert P.pack_documents(frame(spark, some).where("false"), BYTE).count() == 0
 
 
