@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard
 from .base import join_groups, written
 
 
@@ -35,8 +36,10 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         n = edges.count()
         if n == 0:
             break
-        edges = written(_star(edges, 2 * n, small=False), "edges")
-        edges = written(_star(edges, max(1, edges.count()), small=True), "edges")
+        wide = written(_star(edges, 2 * n, small=False), "edges")
+        discard(edges)
+        edges = written(_star(wide, max(1, wide.count()), small=True), "edges")
+        discard(wide)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
