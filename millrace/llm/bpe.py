@@ -117,11 +117,17 @@ class WordBpe:
         return n, hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(texts).encode("utf-8", "surrogatepass")).hexdigest()
 
 
+@lru_cache(2)
+def loaded(tokenizer_json: str) -> WordBpe:
+    """One for each worker process, so that its remembered words outlast a task."""
+    return WordBpe(tokenizer_json)
+
+
 def encode_documents(docs: DataFrame, tokenizer_json: str) -> DataFrame:
     """doc_id, ids array<int>, decoded: each row's ids and the text that they decode to; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(tokenizer_json)
+        bpe = loaded(tokenizer_json)
         for batch in batches:
             ids = [bpe.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
@@ -136,7 +142,7 @@ def digest_documents(docs: DataFrame, tokenizer_json: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(tokenizer_json)
+        bpe = loaded(tokenizer_json)
         for batch in batches:
             rows = [bpe.digest(t or "") for t in batch.column("text").to_pylist()]
             n, ids, texts = zip(*rows) if rows else ((), (), ())

@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from .base import written
 
-#: Pivots at most; rows that choose them at most (by the hash of their id); annuli a pivot at most.
+#: Pivots at most; rows that choose them, about (by the hash of their id); annuli a pivot at most.
 PIVOTS, SAMPLE, ANNULI = 64, 4096, 64
 #: Vectors in a block, queries in a pack: about.
 BLOCK, PACK = 4096, 512
+#: Packs whose best a task holds while it goes through its blocks.
+HELD = 64
 #: Relative slack of the bounds, far above rounding.
 SLACK = 1e-9
 
@@ -78,7 +80,11 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame:
     n, dim, norm2 = facts[0], facts[1], facts[2]
     if not n:
         return spark.createDataFrame([], out)
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    # About SAMPLE rows by the hash of their id; more than twice as many only where ids repeat, and then cut.
+    low = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))
+    sample = vectors.where(low).limit(2 * SAMPLE).toPandas()
+    if not len(sample):
+        sample = vectors.limit(1).toPandas()
     pivots = _pivots(_lifted(_matrix(sample.v, dim), norm2), min(PIVOTS, max(1, n // BLOCK), len(sample)))
     width = 2 * np.sqrt(norm2) / ANNULI or 1.0
     shared = spark.sparkContext.broadcast((pivots, norm2))
@@ -147,27 +153,47 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame:
         return run
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each pack's best so far are held for HELD packs at most, and leave the task when others need the place."""
+        held: dict[int, tuple] = {}
+
+        def out(state: tuple) -> pa.RecordBatch:
+            qids, i, ids, s = state
+            return pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(ids), pa.array(s.astype(np.int64))], ["query_id", "vec_id", "score"])
+
         for b in batches:
             for row in b.to_pylist():
                 ids, qids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["qids"], np.int64)
                 s = np.frombuffer(row["qs"]).reshape(-1, dim) @ np.frombuffer(row["vs"]).reshape(-1, dim).T
                 s[qids[:, None] == ids[None]] = -np.inf
+                floor = np.full(len(qids), -np.inf)
+                if row["least"]:
+                    floor = np.frombuffer(row["least"])
                 if len(ids) > k:
-                    # The k best of this block, ties included, then by id.
-                    floor = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
-                else:
-                    floor = np.full(len(qids), -np.inf)
-                floor = np.maximum(floor, np.frombuffer(row["least"])) if row["least"] else floor
+                    # Ties included, which the ids decide below.
+                    floor = np.maximum(floor, np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k])
+                before = held.pop(row["pack"], None)
+                if before:
+                    i, n = np.unique(before[1], return_counts=True)
+                    full = i[n == k]
+                    worst = before[3][np.searchsorted(before[1], full, "right") - 1]
+                    floor = floor.copy()
+                    floor[full] = np.maximum(floor[full], worst)
                 i, j = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
-                order = np.lexsort((ids[j], -s[i, j], i))
-                i, j = i[order], j[order]
-                rank = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j = i[rank < k], j[rank < k]
-                yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(ids[j]), pa.array(s[i, j].astype(np.int64))], ["query_id", "vec_id", "score"])
+                found, of = s[i, j], ids[j]
+                if before:
+                    i, of, found = np.concatenate([before[1], i]), np.concatenate([before[2], of]), np.concatenate([before[3], found])
+                order = np.lexsort((of, -found, i))
+                i, of, found = i[order], of[order], found[order]
+                best_of = np.arange(len(i)) - np.searchsorted(i, i) < k
+                held[row["pack"]] = (qids, i[best_of], of[best_of], found[best_of])
+                if len(held) > HELD:
+                    yield out(held.pop(next(iter(held))))
+        for state in held.values():
+            yield out(state)
 
     def scored(packs: DataFrame, first: bool) -> DataFrame:
         kinds = "pack long, ids binary, vs binary" + ("" if first else ", least binary") + ", block long"
-        pairs = packs.mapInArrow(opened(first), kinds).select("block", F.col("ids").alias("qids"), F.col("vs").alias("qs"), *([F.lit(None).cast("binary").alias("least")] if first else ["least"]))
+        pairs = packs.mapInArrow(opened(first), kinds).select("block", "pack", F.col("ids").alias("qids"), F.col("vs").alias("qs"), *([F.lit(None).cast("binary").alias("least")] if first else ["least"]))
         return pairs.join(blocks, "block").mapInArrow(scores, "query_id long, vec_id long, score long")
 
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

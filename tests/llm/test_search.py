@@ -19,7 +19,7 @@ def plain(rows, k, every):
 
 @pytest.mark.parametrize("n,k", [(400, 20), (12, 20), (1, 3)])
 def test_top_k_against_plain(spark, monkeypatch, n, k):
-    for name, value in (("BLOCK", 32), ("PACK", 8), ("ANNULI", 8)):
+    for name, value in (("BLOCK", 32), ("PACK", 8), ("ANNULI", 8), ("HELD", 2)):
         monkeypatch.setattr(S, name, value)
     r = np.random.default_rng(1)
     rows = [(i, [float(x) for x in r.normal(size=6) * r.choice([0.1, 1, 5])]) for i in range(n)]
