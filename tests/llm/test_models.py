@@ -9,6 +9,7 @@ from itertools import product
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import crf as C
 from millrace.llm import html_text as H
@@ -215,6 +216,15 @@ def test_scores_of_documents(spark, monkeypatch):
     assert {r.n_known for r in M.score_documents(only).collect()} == {0}
 
 
+def test_network_learns_from_all_documents(spark):
+    """Word order beyond the documents of least hash: the forward order alone stands in the first half by hash."""
+    ids = [r.id for r in spark.range(3000).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h")).orderBy("h").collect()]
+    text = {i: "pa qe ri so tu" if k < 1500 else "tu so ri qe pa" for k, i in enumerate(ids)}
+    got = M.score_documents(docs(spark, [(i, text[i], None) for i in ids])).where("held_out").collect()
+    there, back = (np.mean([r.score for r in got if text[r.doc_id] == t]) for t in ("pa qe ri so tu", "tu so ri qe pa"))
+    assert abs(there - back) < 0.5 and back > -1.5
+
+
 # Pages.
 
 
