@@ -54,6 +54,13 @@ def kv_pull(spark, sf_dir):
     return K.pull(_parts(spark, sf_dir), batch, "keys")
 
 
+@R.query("SELECT p_partkey AS key, p_brand AS val FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
+def kv_pull_all(spark, sf_dir):
+    """The part rows that all orders' key lists name."""
+    batch = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("keys"))
+    return K.pull(_parts(spark, sf_dir), batch, "keys")
+
+
 @R.query("SELECT DISTINCT l_partkey AS key FROM lineitem")
 def kv_used_keys(spark, sf_dir):
     return K.used_keys(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("keys")), "keys")

@@ -149,6 +149,46 @@ def cost_block_moves(spark, sf_dir):
     return C.moves(even, C.rebalanced(e, "bandwidth", 1000))
 
 
+#: A machine for each nation, from all suppliers.
+NATIONS = "SELECT s_nationkey AS id, count(*)::DOUBLE AS throughput, sum(s_suppkey % 5 + 1)::DOUBLE * 10 AS bandwidth FROM supplier GROUP BY s_nationkey"
+
+
+def _nations(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("id"))
+    return s.agg(F.count("*").cast("double").alias("throughput"), (F.sum(F.col("s_suppkey") % 5 + 1).cast("double") * 10).alias("bandwidth"))
+
+
+COSTS_ALL, SPREAD_ALL = COSTS.replace(EVALUATORS, NATIONS), SPREAD.replace(EVALUATORS, NATIONS)
+
+
+@R.query(COSTS_ALL)
+def cost_by_workers_all(spark, sf_dir):
+    return C.worker_costs(_nations(spark, sf_dir), 0.5, 100).select("workers", F.round("cost", 6).alias("cost"))
+
+
+@R.query(f"SELECT arg_min(workers, (cost, workers)) AS workers, min(cost) AS cost FROM ({COSTS_ALL})")
+def cost_cheapest_all(spark, sf_dir):
+    return C.cheapest(C.worker_costs(_nations(spark, sf_dir), 0.5, 100)).select("workers", F.round("cost", 6).alias("cost"))
+
+
+@R.query(SPREAD_ALL)
+def cost_rebalanced_all(spark, sf_dir):
+    return C.rebalanced(_nations(spark, sf_dir), "bandwidth", 1000)
+
+
+@R.query(f"""
+WITH e AS (SELECT id, count(*) OVER () AS n, row_number() OVER (ORDER BY id) AS k FROM ({NATIONS})),
+d AS (SELECT id, 1000 // n + CASE WHEN k <= 1000 % n THEN 1 ELSE 0 END - blocks AS d FROM e JOIN ({SPREAD_ALL}) USING (id)),
+s AS (SELECT id AS src, sum(d) OVER (ORDER BY d DESC, id) - d AS lo, sum(d) OVER (ORDER BY d DESC, id) AS hi FROM d WHERE d > 0),
+t AS (SELECT id AS dst, sum(-d) OVER (ORDER BY d, id) + d AS lo, sum(-d) OVER (ORDER BY d, id) AS hi FROM d WHERE d < 0)
+SELECT src, dst, CAST(least(s.hi, t.hi) - greatest(s.lo, t.lo) AS BIGINT) AS blocks FROM s JOIN t ON s.lo < t.hi AND t.lo < s.hi
+""")
+def cost_block_moves_all(spark, sf_dir):
+    """From an even spread to one by bandwidth."""
+    e = _nations(spark, sf_dir)
+    return C.moves(C.rebalanced(e.withColumn("even", F.lit(1)), "even", 1000), C.rebalanced(e, "bandwidth", 1000))
+
+
 @R.query("SELECT DISTINCT l_orderkey % 500 AS id FROM lineitem WHERE l_orderkey % 500 NOT IN (SELECT l_partkey % 700 FROM lineitem WHERE l_quantity < 2)")
 def plan_roots(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")

@@ -112,6 +112,43 @@ def la_matrix_stack(spark, sf_dir):
     return V.above(V.beside(m, m, DIM), m, 10).select("i", F.col("j").cast("int").alias("j"), "v")
 
 
+# The same over all vectors. A product with the own transpose is quadratic, so the product is with a fixed DIM x WIDE matrix.
+LONG_ALL = LONG.replace(" WHERE vec_id < 100", "")
+WIDE = 4
+WEIGHTS = f"(SELECT CAST(j AS INTEGER) AS j, CAST(c AS INTEGER) AS c, ((j * 31 + c * 7) % 17 - 8) / 8.0::DOUBLE AS w FROM range({DIM}) a(j), range({WIDE}) b(c))"
+HEIGHT = "(SELECT max(vec_id) + 1 FROM embeddings)"
+
+
+def _long_all(spark, sf_dir):
+    return V.to_rows(_rows(spark, sf_dir), "vec_id", "embedding")
+
+
+@R.query(f"SELECT i, c AS j, round(sum(v * w), 4) + 0.0 AS v FROM {LONG_ALL} JOIN {WEIGHTS} USING (j) GROUP BY i, c")
+def la_matrix_product_all(spark, sf_dir):
+    at = spark.range(DIM * WIDE).select((F.col("id") / WIDE).cast("int").alias("i"), (F.col("id") % WIDE).cast("int").alias("j"))
+    weights = at.select("i", "j", (((F.col("i") * 31 + F.col("j") * 7) % 17 - 8) / F.lit(8.0)).alias("v"))
+    return V.times(_long_all(spark, sf_dir), weights).select("i", "j", (F.round("v", 4) + 0.0).alias("v"))
+
+
+@R.query(f"SELECT i, round(sum(v * (j + 1)), 4) AS v FROM {LONG_ALL} GROUP BY i")
+def la_matrix_vector_all(spark, sf_dir):
+    x = spark.range(DIM).select(F.col("id").cast("int").alias("j"), (F.col("id") + 1).cast("double").alias("x"))
+    return V.times_vector(_long_all(spark, sf_dir), x).select("i", F.round("v", 4).alias("v"))
+
+
+@R.query(f"SELECT a.i, a.j, round(a.v + coalesce(b.v, 0) - a.v * a.v, 6) + 0.0 AS v FROM {LONG_ALL} a LEFT JOIN (SELECT i, j - 32 AS j, v FROM {LONG_ALL} WHERE j >= 32) b ON a.i = b.i AND a.j = b.j")
+def la_matrix_cells_all(spark, sf_dir):
+    m = _long_all(spark, sf_dir)
+    return V.cell_wise(V.cell_wise(m, V.columns(m, 32, 64), "+"), V.cell_wise(m, m, "*"), "-").select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@R.query(f"SELECT i, CAST(j AS INTEGER) AS j, v FROM (SELECT i, j, v FROM {LONG_ALL} UNION ALL SELECT i + {HEIGHT}, j, v FROM {LONG_ALL} UNION ALL SELECT i, j + 64, v FROM {LONG_ALL})")
+def la_matrix_stack_all(spark, sf_dir):
+    m = _long_all(spark, sf_dir)
+    height = (_rows(spark, sf_dir).agg(F.max("vec_id")).first()[0] or 0) + 1
+    return V.above(V.beside(m, m, DIM), m, height).select("i", F.col("j").cast("int").alias("j"), "v")
+
+
 @R.query(f"WITH p AS (SELECT vec_id, label, {E} AS e FROM embeddings), z AS (SELECT *, list_max(e) AS top FROM p), s AS (SELECT *, list_sum(list_transform(e, lambda x: exp(x - top))) AS s FROM z) SELECT vec_id, round(least(greatest(exp(e[1] - top) / s, 1e-7), 1 - 1e-7), 6) AS p0, CAST(list_position(e, top) - 1 AS INTEGER) AS best FROM s")
 def la_softmax(spark, sf_dir):
     p = V.softmax(V.scale(F.col("embedding"), 1))

@@ -29,3 +29,16 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["id", "rank"]
+
+
+@pytest.mark.parametrize("name", ["la_matrix_vector_all", "la_matrix_product_all", "la_matrix_cells_all", "la_matrix_stack_all"])
+def test_matrices_have_all_vectors(spark, name):
+    ids = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").distinct().count()
+    out = QUERIES[name](spark, DATA)
+    assert out.select("i").distinct().count() == ids * (2 if name == "la_matrix_stack_all" else 1)
+
+
+def test_orders_and_suppliers_are_all_read(spark):
+    named = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_partkey").distinct().count()
+    machines = spark.read.parquet(f"{DATA}/supplier.parquet").select("s_nationkey").distinct().count()
+    assert QUERIES["kv_pull_all"](spark, DATA).count() == named and QUERIES["cost_rebalanced_all"](spark, DATA).count() == machines
