@@ -23,13 +23,18 @@ from .crf import Crf
 # HTML's block-level elements, elements whose content is not text, and what an opening tag closes.
 BLOCK_TAGS = frozenset("html head title body main article section nav header footer aside div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre table caption thead tbody tfoot tr td th form fieldset legend label figure figcaption address details summary dialog hr menu noscript select option textarea button".split())
 RAW_TAGS = ("script", "style", "template", "svg", "iframe", "object", "math")
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
+#: Without an end tag these run to the end of the page; of the others only the tag itself is no text.
+RAW_TO_END = frozenset(("script", "style"))
+#: These are empty if their tag closes itself.
+SELF_CLOSED = frozenset(("svg", "math"))
 VOID_TAGS = frozenset(("hr",))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head", "title")}
 #: Opening one of these ends an open paragraph.
 ENDS_P = BLOCK_TAGS - {"label", "button", "select", "option", "textarea", "noscript"}
 #: How far up an implied end may reach.
 SCOPES = frozenset(("ul", "ol", "dl", "table", "html", "menu", "select"))
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|iframe|object|math)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW_TAGS) + r")(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<>]*(?:>|\Z)|)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)", re.S | re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
 #: Elements that name a part of the page by themselves.
@@ -68,20 +73,32 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
             if stack[k][0] in SCOPES:
                 return
 
-    at = 0
-    for m in TOKEN.finditer(page):
+    at, unclosed = 0, set()
+    while m := TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
-        if m[3] is None:
+        if m[1]:
+            raw = m[1].lower()
+            if raw in SELF_CLOSED and m[2].endswith("/>"):
+                continue
+            end = None if raw in unclosed else RAW_END[raw].search(page, at)
+            if end:
+                at = end.end()
+            elif raw in RAW_TO_END:
+                at = len(page)
+            else:
+                unclosed.add(raw)
             continue
-        tag = m[3].lower()
+        if m[4] is None:
+            continue
+        tag = m[4].lower()
         if tag == "a":
-            links = 0 if m[2] else 1
+            links = 0 if m[3] else 1
         elif tag in ("br", "img", "input", "wbr"):
             texts.append(" " if tag != "wbr" else "")
         elif tag in BLOCK_TAGS:
             flush()
-            if m[2]:
+            if m[3]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         del stack[k:]
@@ -91,8 +108,8 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
                     stack.pop()
                 if tag in CLOSES:
                     close(CLOSES[tag])
-                if not m[4].rstrip().endswith("/") or tag != "p":
-                    names = " ".join(a or b or c for a, b, c in NAMED.findall(m[4])).lower() if "=" in m[4] else ""
+                if not m[5].rstrip().endswith("/") or tag != "p":
+                    names = " ".join(a or b or c for a, b, c in NAMED.findall(m[5])).lower() if "=" in m[5] else ""
                     stack.append((tag, tuple(WORDS.findall(names)[:6])))
     add(page[at:])
     flush()

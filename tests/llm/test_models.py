@@ -235,6 +235,18 @@ def test_blocks_of_broken_markup():
     assert [b[1] for b in H.blocks("<p>x</p><foo")] == ["x"]
 
 
+def test_raw_content_ends_with_its_element():
+    texts = lambda page: [b[1] for b in H.blocks(page)]
+    assert texts("<svg-icon name='x'></svg-icon><article><p>text</p></article>") == ["text"]
+    for name in ("math-field", "template-part", "object-viewer", "style-guide", "svg:rect"):
+        assert texts(f"<{name}>a</{name}><p>b</p>") == ["a", "b"]
+    assert texts("<svg class='i'/><p>article</p>") == texts("<SVG a='x>y' /><p>article</p><svg><text>no</text></svg>") == ["article"]
+    assert texts("<svg><path d='m'/><text>no</text></svg><p>x</p>") == ["x"]
+    assert texts("<p>x</p><object data=a><p>y</p><iframe src=b><p>z</p>") == ["x", "y", "z"]
+    assert texts("<p>x</p><script>var a='<p>no</p>'") == texts("<p>x</p><style a=\"b><p>no</p>") == ["x"]
+    assert texts("<svg>" * 100_000 + "<p>x</p>") == ["x"]
+
+
 def test_labelled_pages_are_learned():
     m = H.model()
     wrong = total = 0
