@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import join_groups, written
+from .base import ROW, first_rows, join_groups, numbered, written
 
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK, WINDOW = 512, 11, 16384, 32
 #: Bytes of text that are hashed at once.
@@ -181,6 +181,6 @@ def _chunk_rows_with_digest(bits: int):
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose text an earlier one has; all columns stay."""
-    gone = exact_groups(docs).where("not kept and keep_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs with one row of those whose texts are equal: of the smallest doc_id, nulls last; all columns stay."""
+    rows = numbered(docs)
+    return first_rows(rows, exact_groups(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("_group")))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import join_groups, written
+from .base import ROW, first_rows, join_groups, numbered, written
 from .components import components
 
 MAX_BITS = 3
@@ -156,6 +156,6 @@ def near_duplicates(docs: DataFrame, posting_limit: int = POSTING_LIMIT) -> Data
 
 
 def one_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one whose doc_id is the component's; all columns stay."""
-    gone = near_duplicates(docs).where("component_id is not null and (doc_id is null or doc_id != component_id)").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs with one row of each component: of the smallest doc_id, nulls last; all columns stay."""
+    rows = numbered(docs)
+    return first_rows(rows, near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("_group")))

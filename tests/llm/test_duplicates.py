@@ -147,3 +147,10 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.component for r in CC.components(edges).collect()}
     assert got == {k: 0 for k in range(301)} | {1000 + k: 1000 for k in range(200)}
     assert CC.components(edges.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("stage", [X.keep_first, S.one_each])
+def test_stages_drop_rows_not_ids(spark, stage):
+    a, b, c, d = ("".join(f"{x}{k} " for k in range(60)) for x in "abcd")
+    rows = [(3, b), (5, a), (5, b), (7, c), (7, c), (7, c), (None, c), (None, d), (None, d)]
+    assert sorted(((r.doc_id, r.text) for r in stage(docs(spark, rows)).collect()), key=str) == sorted([(3, b), (5, a), (7, c), (None, d)], key=str)
