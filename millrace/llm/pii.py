@@ -1,7 +1,7 @@
 """Personal data: patterns for the plain forms, and a linear-chain CRF over word shapes for the written-out ones.
 
-The CRF reads words in windows around words with a digit, an at sign or a written-out one; all other words are
-outside by definition. It adds phone numbers without a plus sign, addresses with written-out signs and defanged or
+The CRF reads words in windows around words with a digit, an at sign or a written-out sign in any case; a span without
+one of these is never valid. It adds phone numbers without a plus sign, addresses with written-out signs and defanged or
 oddly separated numbers; spans that overlap a pattern's are dropped.
 """
 
@@ -65,7 +65,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-CUE = re.compile(r"[0-9@]+|[\[({](?:at|dot)[\])}]|(?<!\S)dot(?!\S)")
+#: Every span that VALID lets through has a digit, an at sign or a written-out one, so has a cue; dot forms are cues too.
+CUE = re.compile(r"[0-9@]+|\b(?:at|dot)\b", re.I)
 WORD = re.compile(r"\S+")
 AROUND = 60
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))

@@ -96,6 +96,17 @@ def test_field_finds_written_out_forms_and_leaves_others():
         assert found(clean) == []
 
 
+def test_written_out_forms_are_read_in_any_case():
+    found = lambda t: [(P.KINDS[k], t[a:b]) for a, k, b in P.all_spans([t], P.model())[0][1]]
+    for form in ("ANN (AT) EXAMPLE (DOT) COM", "Ann [At] Example [Dot] Org", "ann {at} example {DOT} com"):
+        assert found(f"write to {form} soon") == [("email", form)]
+        assert found("nothing here " * 20 + f"write to {form} soon" + " nothing there" * 20) == [("email", form)]
+    for sign in ("at", "AT", "(at)", "x(AT)y", "[At]", "{aT}", "dot", "Dot", "(DOT)", "a[dot]b", "{dot}"):
+        assert P.shape(sign).rstrip("+") in ("at", "dot") and P.windows(f"so {sign} on")
+    # The field reads bare signs too; whether it tags them is the labelled table's matter.
+    assert P.windows("Ann at Example Dot Com") and P.windows("ann at example.com") and P.windows("no signs of any such form") == []
+
+
 def test_personal_data_rows(spark):
     texts = [(0, None, None), (1, "", None), (2, "a@b.co and +1 (415) 555-0132 é 10.0.0.1", None), (2, "a@b.co", None), (None, "x " * 20_000 + "4012888888881881", None)]
     got = P.find_personal(docs(spark, texts)).collect()
