@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -222,11 +223,59 @@ def test_scores_of_documents(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held) and all(r.score < 0 for r in got)
+    assert {r.fitted_tokens for r in got} == {n}
+    monkeypatch.setattr(M, "SMALL_CORPUS", 10)
+    monkeypatch.setattr(M, "TASK_TOKENS", 300)
+    assert {r.fitted_tokens for r in M.score_documents(docs(spark, rows)).collect()} == {n}
     assert M.score_documents(docs(spark, []).where("false")).count() == 0
     only = docs(spark, [(k, "a b", None) for k in range(40) if out_of(k)])
     assert {r.n_known for r in M.score_documents(only).collect()} == {0}
 
 
+def test_words_by_arrow():
+    texts = ["A b\tC", " ", "", None, "é É x\x0by  z\x1cq \x85", " lead\r\ntrail \n"]
+    of, code, words = M.words_of(pa.array(texts))
+    want = [(k, w.decode()) for k, t in enumerate(texts) for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [b"\n"]]
+    assert [(o, words[c].as_py()) for o, c in zip(of.tolist(), code.tolist())] == want
+    of, code, words = M.words_of(pa.array([], pa.string()))
+    assert len(of) == len(code) == 0
+
+
+def test_each_document_s_score_against_a_plain_network(spark, monkeypatch):
+    """With given weights: every token's probability by loops over the document, unknown and unseen frequent words too."""
+    for name, value in (("HEAD", 20), ("BROADCAST", 40), ("ENDINGS", 5), ("CLASS_WORDS", 8), ("WINDOW", 5), ("LANES", 3)):
+        monkeypatch.setattr(M, name, value)
+    kept = {}
+
+    def given(coded, v):
+        kept["v"], kept["gru"] = v, M.Gru(v, seed=3)
+        kept["gru"].ww *= 10
+        return kept["gru"], 0
+
+    monkeypatch.setattr(M, "train", given)
+    out_of = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    rows = [(i, t + " hot hot" if out_of(i) else t, None) for i, t, _ in sample(80)] + [(500, None, None), (501, "", None), (502, "never seen é words", None)]
+    got = {r.doc_id: r.score for r in M.score_documents(docs(spark, rows)).collect()}
+    words = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [b"\n"]
+    c = Counter(w for i, t, _ in rows if not out_of(i) for w in words(t))
+    v, g, n = kept["v"], kept["gru"], M.HIDDEN
+    assert v.top[b"hot"] == 0 and len(v.head) == 20 and c[b"hot"] == 0
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    softmax = lambda s: np.exp(s) / np.exp(s).sum()
+    for i, t, _ in rows:
+        h, x, total = np.zeros(n), g.x[-1], 0.0
+        for w in words(t):
+            z, r = sigmoid(x[:n] + h @ g.u[:, :n]), sigmoid(x[n : 2 * n] + h @ g.u[:, n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * (h @ g.u[:, 2 * n :]))
+            y = v.symbol(w)
+            total += math.log10(softmax(h @ g.w + g.b)[y // 8] * softmax(h @ g.ww[y // 8] + g.wb[y // 8])[y % 8])
+            if y >= 20:  # among the words of one ending, by add-one counts with one place for unknown words
+                same = {u: k for u, k in c.items() if v.symbol(u) == y}
+                total += math.log10((c[w] + 1) / (sum(same.values()) + len(same) + 1))
+            x = g.x[y]
+        assert abs(got[i] - total) < 1e-3 * max(1, abs(total))
+
+
 def test_network_learns_from_all_documents(spark):
     """Word order beyond the documents of least hash: the forward order alone stands in the first half by hash."""
     ids = [r.id for r in spark.range(3000).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h")).orderBy("h").collect()]
