@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import product
@@ -71,11 +72,11 @@ def test_gradient_is_the_likelihood_s():
 
 
 def plain_spans(t):
-    out = [(m.start(), 0, m.end()) for m in P.EMAIL.finditer(t)]
-    out += [(m.start(), 1, m.end()) for m in P.IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
     digits = lambda s: re.sub(r"[^0-9]", "", s)
-    out += [(m.start(), 2, m.end()) for m in P.CARD.finditer(t) if 14 <= len(digits(m[0])) <= 19 and P.luhn(digits(m[0]))]
-    return sorted(out + [(m.start(), 3, m.end()) for m in P.PHONE.finditer(t) if 10 <= len(digits(m[0])) <= 15])
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m[0])) <= 19 and P.luhn(digits(m[0]))]
+    return sorted(out + [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m[0])) <= 15])
 
 
 @settings(max_examples=1500, deadline=None)
@@ -84,6 +85,41 @@ def test_base_spans_against_plain_patterns(t):
     assert P.base_spans(t) == plain_spans(t)
 
 
+def test_long_runs_take_linear_time():
+    n = 1_000_000
+    for t in ("x@" + "a" * n, "9" * n, "0" * n + ".0.0.1", "@" * n, "1." * (n // 2), "+1 " * (n // 3), "a@b" * (n // 3), "+" + "1 " * (n // 2), "(" * n + "@", "a." * (n // 2) + "@b.c"):
+        began = time.process_time()
+        spans = P.base_spans(t)
+        assert time.process_time() - began < 5 and all(a < b for a, _, b in spans)
+    assert P.base_spans("0" * 5000 + ".0.0.1") == [(0, 1, 5006)] and P.base_spans("a." * 9 + "@b.c") == [(0, 0, 22)]
+
+
+def test_long_windows_are_decoded_in_pieces():
+    assert [(len(p), a, b) for p, a, b in P.pieces([])] == [(0, 0, 0)] and [(len(p), a, b) for p, a, b in P.pieces([0] * P.PIECE)] == [(P.PIECE, 0, P.PIECE)]
+    for n in (P.PIECE + 1, 2 * P.PIECE - 2 * P.SIDE, 3 * P.PIECE):
+        starts = [w for part, a, b in P.pieces(list(range(n))) for w in part[a:b]]
+        assert starts == list(range(n))
+    many = ["the office, (415) 555-0132, is closed and 3 of 10 are here" for _ in range(2000)]
+    found = P.all_spans([" ".join(many)], P.model())[0][1]
+    assert len(found) == 2000 and {b - a for a, _, b in found} == {14}
+
+
+def test_field_s_recall_on_lines_not_trained_on():
+    """Forms of the labelled table with other words around and other digits and names in them."""
+    r = random.Random(3)
+    forms = ["({a}) {b}-{c}", "{a}-{b}-{c}", "{a}.{b}.{c}", "lee.{n} (at) {n} (dot) com", "{n} [at] {n} [dot] org", "{n}.x [at] {n}.net", "10[.]{d}[.]12[.]{d}"]
+    hit = total = extra = 0
+    for _ in range(400):
+        num = lambda k: "".join(r.choices("23456789", k=k))
+        name = "".join(r.choices("abdegiklmnoprstu", k=5))
+        form = r.choice(forms).format(a=num(3), b=num(3), c=num(4), n=name, d=r.randint(1, 250))
+        before, after = (" ".join("".join(r.choices("abdegiklmnoprstu", k=r.randint(2, 8))) for _ in range(6)) for _ in range(2))
+        spans = [(len(before) + 1, len(before) + 1 + len(form))]
+        got = [(a, b) for a, _, b in P.all_spans([f"{before} {form} {after}"], P.model())[0][1]]
+        hit, total, extra = hit + (got == spans), total + 1, extra + bool(set(got) - set(spans))
+    assert hit / total > 0.9 and extra / total < 0.05
+
+
 def test_luhn():
     assert P.luhn("4012888888881881") and not P.luhn("4012888888881882")
 
