@@ -1,9 +1,14 @@
 """Best-fit packing of tokenised documents into sequences, hierarchically.
 
-Pieces are dealt into parts of about PART_ITEMS; each part packs its own best-fit decreasing. Bins that nothing can
-still fill are emitted; of the others each part hands its lightest (all that can be merged: two bins of one part never
-fit together) to the next round, where they are the items of FAN_IN parts' best-fit, and so on up the tree. A round is
-a written table of (child, bin, offset); a piece's sequence is found by following the few bins that were merged.
+Pieces are dealt by row number into parts of about PART_ITEMS; each part packs its own best-fit decreasing. Full bins
+are emitted; of the others each part hands its HANDED_ON lightest to the next round, where they are the items of FAN_IN
+parts' best-fit, and so on up the tree. A round is a written table of (child, bin, offset); a piece's sequence is found
+by following the few bins that were merged.
+
+Handing on more would merge no more. Two bins of one part never fit together: the first item of the later one did not
+fit into the earlier. So a part has at most one bin that is half full or less, and each merge of a round takes one of
+these, of which FAN_IN meet. Each needs one other bin with room for it, and of a part's bins the FAN_IN lightest serve
+as well as any. After the round the FAN_IN parts together are again a part of which no two bins fit together.
 """
 
 from __future__ import annotations
@@ -27,9 +32,7 @@ from .base import written
 CAPACITY = 2048
 PART_ITEMS = 20_000
 FAN_IN = 8
-#: Bins with less room than this are emitted at once.
-SLACK = 16
-#: Bins that a part hands on in a round; the rest are emitted as they are.
+#: Bins that a part hands on in a round: FAN_IN at least, more for a closer fit; the rest are emitted as they are.
 HANDED_ON = 64
 #: Words whose ids a task remembers.
 CACHE = 300_000
@@ -145,13 +148,13 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS) -> DataFrame:
     """items (any columns, with length: 1 to capacity) with sequence_id and offset; items must be a written table.
 
-    No items give no rows. Sequences are filled from offset 0 without gaps and never beyond capacity.
+    Rows are dealt by their number in that table, so equal rows spread evenly. No items give no rows. Sequences are filled from offset 0 without gaps and never beyond capacity.
     """
     keys = items.columns
     n = items.count()
     parts = max(1, -(-n // part_items))
     spark = items.sparkSession
-    ready = items.withColumn("part", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(parts)).cast("long"))
+    ready = items.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("long"))
 
     def first(rows: pa.Table) -> pa.Table:
         b, o, fills = best_fit(rows.column("length").to_numpy(), capacity)
@@ -170,7 +173,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEM
     while parts > 1:
         # Of each part's bins with room, the lightest go on; F.shiftright(bin, 24) is the part.
         part = F.shiftright("bin", 24) if level == 0 else F.pmod(F.shiftright("bin", 24), F.lit(1 << 30))
-        open_ = bins.where(F.col("fill") <= capacity - SLACK).withColumn("part", part)
+        open_ = bins.where(F.col("fill") < capacity).withColumn("part", part)
         light = open_.groupBy("part").agg(F.slice(F.array_sort(F.collect_list(F.struct("fill", "bin"))), 1, HANDED_ON).alias("b"))
         level += 1
         parts = -(-parts // FAN_IN)

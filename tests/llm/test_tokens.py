@@ -90,3 +90,27 @@ def test_large_items_are_not_gathered(spark):
     rows = spark.range(3000).selectExpr("id AS k", "CAST(1500 AS LONG) AS length")
     out = P.pack(written(rows, "items"), part_items=100).toPandas()
     assert len(out) == 3000 and out.sequence_id.nunique() == 3000
+
+
+def test_equal_rows_spread_over_parts(spark):
+    """20,000 equal pieces in parts of about 1,000: each part packs its share, and the tree joins what is left over."""
+    from millrace.llm.base import written
+
+    rows = spark.range(20_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "CAST(3 AS LONG) AS length")
+    out = P.pack(written(rows, "items"), part_items=1000).toPandas()
+    check_layout(out)
+    assert len(out) == 20_000 and out.sequence_id.nunique() == -(-20_000 // 682)
+    first = out[out.sequence_id < 1 << 54]
+    assert (first.groupby(first.sequence_id.to_numpy() >> 24).size() <= 1100).all()
+
+
+def test_handing_on_more_bins_merges_no_more(spark, monkeypatch):
+    from millrace.llm.base import written
+
+    r = random.Random(8)
+    rows = written(spark.createDataFrame([(k, r.choice((r.randint(900, 2048), r.randint(1, 300), 700))) for k in range(4000)], "k long, length long"), "items")
+    some = P.pack(rows, part_items=100).toPandas().sequence_id.nunique()
+    monkeypatch.setattr(P, "HANDED_ON", P.FAN_IN)
+    fewer = P.pack(rows, part_items=100).toPandas().sequence_id.nunique()
+    monkeypatch.setattr(P, "HANDED_ON", 10_000)
+    assert abs(some - P.pack(rows, part_items=100).toPandas().sequence_id.nunique()) <= 1 and abs(some - fewer) <= 1
