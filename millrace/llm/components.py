@@ -24,26 +24,24 @@ def _star(edges: DataFrame, total: int, small: bool) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def _measure(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v: long): the least node reachable. Loops and null ends are ignored.
 
-    The edges converge to one star a component. Each round's edges are a written table; only their number and a
-    checksum come to the driver. Raises if max_rounds do not suffice (each round shortens paths by a constant factor).
+    The edges converge to one star a component, in a number of rounds that grows with the logarithm of the longest
+    path. Each round's edges are a written table; only their number and a checksum come to the driver.
     """
     edges = written(edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(max_rounds):
-        n = edges.count()
-        if n == 0:
-            break
-        wide = written(_star(edges, 2 * n, small=False), "edges")
+    before, now = None, _measure(edges)
+    while now != before and now[0]:
+        before = now
+        wide = written(_star(edges, 2 * now[0], small=False), "edges")
         discard(edges)
-        edges = written(_star(wide, max(1, wide.count()), small=True), "edges")
+        # Large stars have no more edges than there were before them.
+        edges = written(_star(wide, now[0], small=True), "edges")
         discard(wide)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not converge")
+        now = _measure(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

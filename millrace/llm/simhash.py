@@ -3,8 +3,8 @@
 Fingerprints that differ in at most 3 of 64 bits share at least 5 of their 8 positional bytes. The index's postings
 are sets of four (position, byte) entries: the 14 blocks of the Steiner system S(3,4,8) are such that any 3 differing
 positions leave the 4 positions of some block untouched, so every link meets in a posting, and a posting holds
-2**-32 of random fingerprints where a single byte's would hold 2**-8. Within a posting the shared positional bytes of
-each pair are tallied, pairs below 5 are dropped and the rest are verified by their differing bits; only a spanning
+2**-32 of random fingerprints where a single byte's would hold 2**-8. Within a posting the positions' equal bytes are
+tallied for each pair, pairs below 5 are dropped, and only the rest are compared by their differing bits; a spanning
 forest of the links leaves the task. A posting beyond `posting_limit` is split by a fifth byte, which loses no link,
 and one that is still too large is searched by enumerating the fingerprints within 3 bits and joining on equality.
 """
@@ -67,45 +67,57 @@ def _mask(positions) -> int:
 
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each posting (lists of fingerprints and their documents) the edges of a spanning forest of its links."""
+    """For each posting's fingerprints the edges of a spanning forest of their links."""
     for batch in batches:
         us, vs = [], []
-        for fps, reps in zip(batch.column("fps").to_pylist(), batch.column("reps").to_pylist()):
-            a = np.array(fps, np.int64).view(np.uint64)
-            for i, j in forest(a):
-                us.append(reps[i])
-                vs.append(reps[j])
+        for fps in batch.column("fps").to_pylist():
+            for i, j in forest(np.array(fps, np.int64).view(np.uint64)):
+                us.append(fps[i])
+                vs.append(fps[j])
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
-def forest(a: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (member, first member) for each set of fingerprints that links join."""
+def counted(a: np.ndarray, least: int = LEAST_SHARED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of fingerprints that share at least `least` positional bytes, by a tally over the positions."""
     m = len(a)
-    label = np.arange(m)
+    at = np.ascontiguousarray(a, "<u8").view(np.uint8).reshape(m, BYTES).T
     step = max(1, (1 << 20) // m)
     for lo in range(0, m - 1, step):
-        diff = a[lo : lo + step, None] ^ a[None, :]
-        tally = (diff.view(np.uint8).reshape(*diff.shape, BYTES) == 0).sum(-1, dtype=np.uint8)
-        near = (tally >= LEAST_SHARED) & (np.bitwise_count(diff) <= MAX_BITS)
-        for row in near:
-            met = label[row]
-            if (met != met[0]).any():
-                met = np.unique(met)
-                label[np.isin(label, met)] = met[0]
+        tally = np.zeros((min(step, m - lo), m), np.uint8)
+        for column in at:
+            tally += column[lo : lo + step, None] == column
+        i, j = np.nonzero(tally >= least)
+        later = j > i + lo
+        yield i[later] + lo, j[later]
+
+
+def forest(a: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (member, first member) for each set of fingerprints that links join; only counted pairs are verified."""
+    label = np.arange(len(a))
+    for i, j in counted(a):
+        near = np.bitwise_count(a[i] ^ a[j]) <= MAX_BITS
+        i, j = i[near], j[near]
+        while (label[i] != label[j]).any():
+            least = np.minimum(label[i], label[j])
+            # The labels' own labels fall too, so that a set joined earlier moves as one.
+            for k in (label[i], label[j]):
+                np.minimum.at(label, k, least)
+            while (label != label[label]).any():
+                label = label[label]
     return [(k, r) for k, r in enumerate(label.tolist()) if r != k]
 
 
 def links(fps: DataFrame, posting_limit: int = POSTING_LIMIT) -> DataFrame:
-    """Edges (u, v) of rep that connect what links of at most MAX_BITS connect; fps: distinct fp, its rep."""
+    """Edges (u, v) of fingerprints that connect what links of at most MAX_BITS connect; fps: distinct fp."""
     block = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(b))).alias("key")) for k, b in enumerate(BLOCKS)]))
-    entries = fps.select("fp", "rep", block.alias("b")).select("fp", "rep", "b.part", "b.key")
+    entries = fps.select("fp", block.alias("b")).select("fp", "b.part", "b.key")
     edges, large = _tallied(entries, posting_limit)
     if large is None:
         return edges
     # A fifth shared byte: the positions outside the block.
     rest = [[j for j in range(BYTES) if j not in b] for b in BLOCKS]
     fifth = F.explode(F.element_at(F.array(*[F.array(*[F.struct(F.lit(k * BYTES + j).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask([*BLOCKS[k], j]))).alias("key")) for j in rest[k]]) for k in range(len(BLOCKS))]), F.col("part") + 1))
-    finer = written(large.select("fp", "rep", fifth.alias("b")).select("fp", "rep", "b.part", "b.key"), "postings")
+    finer = written(large.select("fp", fifth.alias("b")).select("fp", "b.part", "b.key"), "postings")
     more, still = _tallied(finer, posting_limit)
     edges = edges.unionByName(more)
     if still is None:
@@ -116,22 +128,22 @@ def links(fps: DataFrame, posting_limit: int = POSTING_LIMIT) -> DataFrame:
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = {}
         for batch in batches:
-            for fp, rep, part in zip(*(batch.column(c).to_pylist() for c in ("fp", "rep", "part"))):
+            for fp, part in zip(*(batch.column(c).to_pylist() for c in ("fp", "part"))):
                 if part not in flips:
                     bits = [1 << (8 * x + b) for x in free[part] for b in range(8)]
                     flips[part] = np.array([sum(c) for n in range(1, MAX_BITS + 1) for c in combinations(bits, n)], np.uint64)
                 around = (flips[part] ^ np.uint64(fp % (1 << 64))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(around[around < fp]), pa.array(np.full((around < fp).sum(), rep))], ["fp", "u"])
+                yield pa.RecordBatch.from_arrays([pa.array(around[around < fp]), pa.array(np.full((around < fp).sum(), fp))], ["fp", "u"])
 
-    around = still.select("fp", "rep", "part").mapInArrow(near, "fp long, u long").distinct()
-    return edges.unionByName(around.join(fps.select("fp", F.col("rep").alias("v")), "fp").select("u", "v"))
+    around = still.select("fp", "part").mapInArrow(near, "fp long, u long").distinct()
+    return edges.unionByName(around.join(fps.select("fp"), "fp").select("u", F.col("fp").alias("v")))
 
 
 def _tallied(entries: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
     """Edges found in postings of up to limit entries, and the entries of larger ones, if any."""
     sizes = written(entries.groupBy("part", "key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     small = entries.join(sizes.where(F.col("size") <= limit), ["part", "key"])
-    small = small.groupBy("part", "key").agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps"))
+    small = small.groupBy("part", "key").agg(F.collect_list("fp").alias("fps"))
     edges = small.mapInArrow(_local_forest, "u long, v long")
     over = sizes.where(F.col("size") > limit)
     if over.isEmpty():
@@ -144,13 +156,18 @@ def near_duplicates(docs: DataFrame, posting_limit: int = POSTING_LIMIT) -> Data
     """doc_id, fingerprint, component_id: one row for each row of docs (doc_id, text); other columns are ignored.
 
     A null or empty text, or one of white space only, has fingerprint zero and links like any other. Rows with a null
-    doc_id take part by their fingerprint but are never a component_id; if nothing else is linked it is null.
+    doc_id take part by their fingerprint, and link others, but are never a component_id; it is null if no row of the
+    component has an id. Rows that repeat a doc_id are rows of their own.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = written(docs.mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
-    linked = components(links(classes.where("rep is not null").select("fp", "rep"), posting_limit))
-    named = classes.join(linked, F.col("rep") == F.col("node"), "left").select("fp", "size", F.coalesce("component", "rep").alias("component_id"))
+    # Links and components are of fingerprints; a component then takes the least id of its fingerprints' rows.
+    linked = components(links(classes.select("fp"), posting_limit))
+    linked = written(linked.select(F.col("node").alias("fp"), "component").join(classes.select("fp", "rep"), "fp"), "linked")
+    ids = linked.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
+    least = join_groups(linked, ids, "component", "members", linked.count()).select("fp", "component_id", F.lit(True).alias("joined"))
+    named = classes.join(least, "fp", "left").select("fp", "size", F.when(F.col("joined"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
     out = join_groups(own, written(named, "components"), "fp", "size", own.count())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -121,9 +121,10 @@ def test_links_lose_none_however_small_the_postings(spark, limit):
                 x ^= 1 << r.randrange(64)
             fps.add(x)
     fps = sorted(fps)
-    frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, k) for k, x in enumerate(fps)], "fp long, rep long")
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    frame = spark.createDataFrame([(x,) for x in signed], "fp long")
     got = {r.node: r.component for r in CC.components(S.links(frame, limit)).collect()}
-    want = plain_components([(k, None) for k in range(len(fps))], fps)
+    want = plain_components([(k, None) for k in signed], fps)
     assert {k: got.get(k, k) for k in want} == want
 
 
@@ -140,6 +141,46 @@ def test_null_ids_are_no_components(spark):
     assert sorted((r.component_id is None, r.component_id) for r in out.collect()) == [(False, 7), (False, 7), (True, None)]
 
 
+def test_rows_without_an_id_link_others(spark):
+    r = random.Random(6)
+    base = ["".join(r.choices("abcdefgh", k=5)) for _ in range(150)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(r.randint(1, 3)):
+            words[r.randrange(150)] = f"changed{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    fps = [plain_fingerprint(t) for t in texts]
+    far = lambda a, b: (fps[a] ^ fps[b]).bit_count()
+    a, b, c = next((a, b, c) for a in range(60) for b in range(60) for c in range(60) if 0 < far(a, b) <= 3 and 0 < far(b, c) <= 3 < far(a, c))
+    out = S.near_duplicates(docs(spark, [(9, texts[a]), (None, texts[b]), (5, texts[c]), (None, "quite other words")])).collect()
+    assert sorted(((str(x.doc_id), x.component_id) for x in out), key=str) == sorted([("9", 5), ("None", 5), ("5", 5), ("None", None)], key=str)
+
+
+def test_only_counted_pairs_are_verified():
+    """Within a posting the tally keeps every link and few other pairs, and the forest joins what links join."""
+    r = np.random.default_rng(1)
+    centre = r.integers(0, 2**64, dtype=np.uint64)
+    high = np.uint64(0xFFFFFFFF00000000)
+    a = np.unique((centre & high) | r.integers(0, 2**32, 1200, dtype=np.uint64))
+    some = a[:300] ^ (np.uint64(1) << r.integers(0, 32, 300, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 32, 300, dtype=np.uint64))
+    a = np.unique(np.concatenate([a, some]))
+    pairs = [(int(x), int(y)) for i, j in S.counted(a) for x, y in zip(i, j)]
+    links = {(i, j) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a[i] ^ a) <= 3).tolist() if j > i}
+    assert links <= set(pairs) and len(links) >= 250 and len(pairs) < 0.03 * len(a) * (len(a) - 1) / 2
+    root = list(range(len(a)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in links:
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
+    assert S.forest(a) == [(k, find(k)) for k in range(len(a)) if find(k) != k]
+
+
 def test_components_of_paths_and_stars(spark):
     chain = [(k, k + 1) for k in range(300)]
     star = [(1000, 1000 + k) for k in range(1, 200)]
