@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +17,8 @@ from .base import held_out
 ORDERS, BITS = (1, 2, 3), 15
 #: Characters of text that are hashed at once.
 BLOCK = 1 << 20
+#: Languages that are learned at most, the most frequent first: a bound on the model, whatever stands in lang.
+LANGUAGES = 128
 #: Documents under this posterior of their best language are rejected by filter_languages.
 LEAST_SCORE = 0.5
 UNKNOWN = "und"
@@ -87,17 +89,24 @@ def counts(texts: list[str]) -> np.ndarray:
 
 
 def log_scores(texts: list[str], logp: np.ndarray) -> np.ndarray:
-    """For each text and language the sum of its n-grams' log-probabilities; logp: [bucket, language]."""
+    """For each text and language the sum of its n-grams' log-probabilities; logp: [bucket, language].
+
+    A block's texts are rows of a sparse matrix of n-gram counts, one sorted key for each text and bucket that occurs.
+    """
     rows = []
     for some in _blocks(texts):
         grams, bounds = ngrams(some)
-        sums = np.zeros((len(some), logp.shape[1]))
+        keys = []
         for n, g in zip(ORDERS, grams):
             lo, hi = _spans(bounds, n)
-            run = np.zeros((len(g) + 1, logp.shape[1]))
-            np.cumsum(logp[g], axis=0, out=run[1:])
-            sums += run[np.minimum(hi, len(g))] - run[np.minimum(lo, len(g))]
-        rows.append(sums)
+            of = np.repeat(np.arange(len(some)), hi - lo)
+            at = np.arange(len(of)) + np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo)
+            keys.append(of << BITS | g[at])
+        keys = np.sort(np.concatenate(keys))
+        first = np.flatnonzero(np.concatenate([keys[:1] >= 0, keys[1:] != keys[:-1]]))
+        times = np.diff(first, append=len(keys))
+        of, bucket = keys[first] >> BITS, keys[first] & ((1 << BITS) - 1)
+        rows.append(np.stack([np.bincount(of, times * logp[bucket, k], len(some)) for k in range(logp.shape[1])], 1) if logp.shape[1] else np.zeros((len(some), 0)))
     return np.concatenate(rows) if rows else np.zeros((0, logp.shape[1]))
 
 
@@ -105,11 +114,14 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-priors and [bucket, language] log-probabilities from docs (text, lang), add-one smoothed.
 
     Every partition tallies its own documents; what is shuffled is one row for each language, bucket and partition at
-    most, and what comes to the driver is the number of languages times 2**BITS counts. Rows with a null text or lang
-    teach nothing.
+    most, and what comes to the driver is LANGUAGES times 2**BITS counts at most: if lang has more values, those of the
+    most rows are learned. Rows with a null text or lang teach nothing.
     """
     docs = docs.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
+    most = [r.lang for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    docs = docs.where(F.col("lang").isin(most))
+
     def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
         sizes: dict[str, int] = {}
@@ -168,17 +180,24 @@ def identify(docs: DataFrame, modulus: int = 4) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out("doc_id", modulus).alias("held_out"), "lang_pred", "score")
 
 
-def filter_languages(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """docs whose language is recognised with at least least_score, learned from docs' own lang; all columns stay."""
+def filter_languages(docs: DataFrame, least_score: float = LEAST_SCORE, languages: Collection[str] | None = None) -> DataFrame:
+    """docs whose language is recognised, with all columns; learned from docs' own lang.
+
+    A row is rejected if its text is null or has no letter, if the best language's posterior is under least_score, if
+    that language is not among `languages` (where given), or if its own lang says another one. A null lang says none,
+    and one that is not learned (see train) says another. Rows that repeat a doc_id or have none are judged each.
+    """
     model = train(docs)
     if not model[0]:
         return docs.where(F.lit(False))
-    names = docs.columns
+    at, own = docs.columns.index("text"), docs.columns.index("lang")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            preds, scores = posteriors([t or "" for t in batch.column("text").to_pylist()], *shared.value)
-            yield batch.filter(pa.array([p != UNKNOWN and s >= least_score for p, s in zip(preds, scores)], pa.bool_()))
+            preds, scores = posteriors([t or "" for t in batch.column(at).to_pylist()], *shared.value)
+            said = batch.column(own).to_pylist()
+            kept = [p != UNKNOWN and s >= least_score and (languages is None or p in languages) and said_ in (None, p) for p, s, said_ in zip(preds, scores, said)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema).select(*names)
+    return docs.mapInArrow(run, docs.schema)

@@ -171,14 +171,70 @@ def sample(n=120):
     return out
 
 
-def test_scores_are_sums_over_plain_ngrams():
-    texts = ["Abc déf", "", "  1 ", "x", "über-alles 9 ALLES", "a\nb"]
+def plain_buckets(text):
+    """Of each n-gram by loops over the characters: runs of others are one space, leading ones only the text's start."""
+    s = "".join(c if c.isalpha() else " " for c in text.lower())
+    s = " " + re.sub(" +", " ", s).lstrip(" ") + " "
+    out = Counter()
+    for n in L.ORDERS:
+        for k in range(len(s) - n + 1):
+            h = 0
+            for j, c in enumerate(s[k : k + n]):
+                h = ((h ^ (ord(c) * 0x9E3779B1 % 2**32 >> 3)) * 0x85EBCA6B + j + 1) % 2**32
+            out[((h ^ h >> 15) * 0xC2B2AE35) % 2**32 >> 32 - L.BITS] += 1
+    return out
+
+
+TEXTS = ["Abc déf", "", "  1 ", "x", "über-alles 9 ALLES", "a\nb", "trail 12!", "İstanbul \U0001d4d0 ẞ", "the and " * 50]
+
+
+def test_scores_are_sums_over_plain_ngrams(monkeypatch):
     logp = np.random.default_rng(0).normal(size=(1 << L.BITS, 3))
-    together = L.log_scores(texts, logp)
-    for t, row in zip(texts, together):
-        assert np.allclose(L.log_scores([t], logp)[0], row)
-    total = L.counts(texts)
-    assert np.allclose(total @ logp, together.sum(0)) and total.sum() == sum(L.counts([t]).sum() for t in texts)
+    want = [plain_buckets(t) for t in TEXTS]
+    scores = [[sum(n * logp[b, k] for b, n in w.items()) for k in range(3)] for w in want]
+    for block in (L.BLOCK, 5):
+        monkeypatch.setattr(L, "BLOCK", block)
+        assert np.allclose(L.log_scores(TEXTS, logp), scores)
+        total = L.counts(TEXTS)
+        assert {b: n for b, n in enumerate(total.tolist()) if n} == sum(want, Counter())
+
+
+def test_predictions_against_a_plain_classifier(spark):
+    """Every row's language and score, by counts and logarithms over plain n-grams."""
+    rows = sample(90) + [(500 + k, t, None) for k, t in enumerate(TEXTS)]
+    learned = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    grams, priors = {}, Counter()
+    for t, lang in learned:
+        grams.setdefault(lang, Counter()).update(plain_buckets(t))
+        priors[lang] += 1
+    got = {r.doc_id: r for r in L.identify(docs(spark, rows)).collect()}
+    for i, t, _ in rows:
+        s = {}
+        for lang, c in grams.items():
+            total = sum(c.values()) + (1 << L.BITS)
+            s[lang] = math.log(priors[lang] / len(learned)) + sum(n * math.log((c[b] + 1) / total) for b, n in plain_buckets(t).items())
+        best = max(sorted(s), key=lambda x: s[x])
+        score = 1 / sum(math.exp(x - s[best]) for x in s.values())
+        if any(c.isalpha() for c in t):
+            assert got[i].lang_pred == best and abs(got[i].score - score) < 1e-3
+        else:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+
+
+def test_languages_that_a_row_belies_go(spark):
+    rows = sample(200)
+    wrong = [(i + 2000, t, "yy" if lang == "xx" else "xx") for i, t, lang in rows[:12] if len(t) > 60]
+    frame = docs(spark, rows + wrong + [(9000, rows[1][1], "junk"), (9001, rows[1][1], None)])
+    kept = {r.doc_id for r in L.filter_languages(frame).collect()}
+    assert kept == {i for i, _, _ in rows} | {9001}
+    only = {r.lang for r in L.filter_languages(frame, languages={"zz"}).collect()}
+    assert only <= {"zz", None} and "zz" in only
+
+
+def test_number_of_languages_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 3)
+    langs, _, logp = L.train(docs(spark, sample(60) + [(900 + k, "abc", f"junk{k}") for k in range(20)]))
+    assert langs == ["xx", "yy", "zz"] and logp.shape[1] == 3
 
 
 def test_held_out_languages(spark):
