@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .packing import byte_chars
 
-#: Words that a task remembers.
-CACHE = 250_000
+#: Words that a task remembers, and the length from which none is.
+CACHE, LONG = 250_000, 40
 #: White space as the vocabulary's normaliser has it: Unicode's property, without the four separators that str.split takes.
 SPACE = regex.compile(r"\p{White_Space}+")
 ODD = re.compile("[\x1c-\x1f]")
@@ -46,7 +46,11 @@ class WordBpe:
         self.final = {b: self.vocab[c + self.end] for c, b in byte_chars().items()}
         self.words: dict[str, tuple[str, str, int]] = {}
         self.most = cache
-        self.merge = lru_cache(cache)(self._merge)
+        self.remembered = lru_cache(cache)(self._merge)
+
+    def merge(self, piece: str) -> tuple[int, ...]:
+        """Ids of one piece; those of short pieces are remembered."""
+        return self.remembered(piece) if len(piece) < LONG else self._merge(piece)
 
     def _merge(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece, by rank order of merges over a linked list of symbols."""
@@ -108,7 +112,7 @@ class WordBpe:
             if found is None:
                 own = self.encode_word(w)
                 found = (" ".join(map(str, own)), self.decode(own), len(own))
-                if len(known) < self.most and len(w) < 40:
+                if len(known) < self.most and len(w) < LONG:
                     known[w] = found
             if found[2]:
                 ids.append(found[0])

@@ -410,6 +410,18 @@ def test_labelled_pages_are_learned():
     assert wrong / total < 0.04
 
 
+def test_article_texts_of_whole_pages(spark):
+    """Pages not trained on, rule by rule other parts around: the text that comes out is the article's blocks in order."""
+    pages = [p for p in H.labelled_pages(120, seed=99) if "</html>" in p]
+    want = [" ".join(t.replace(H.MARK, "") for _, t, _ in H.blocks(p) if H.MARK in t) for p in pages]
+    rows = spark.createDataFrame([(k, "u", p.replace(H.MARK, "")) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(rows).collect()}
+    assert np.mean([got[k] == t for k, t in enumerate(want)]) > 0.7
+    words = lambda t: Counter(t.split())
+    assert sum((words(got[k]) & words(t)).total() for k, t in enumerate(want)) > 0.97 * sum(words(t).total() for t in want)
+    assert sum((words(got[k]) - words(t)).total() for k, t in enumerate(want)) < 0.04 * sum(words(t).total() for t in want)
+
+
 def test_extracted_rows(spark):
     article = "<article><h1>Title</h1>" + "".join(f"<p>Paragraph {k} of the text, with   words &amp; more.</p>" for k in range(5)) + "</article>"
     page = f"<html><body><nav><a href=/>home</a> <a href=/x>more</a></nav>{article}<footer>&copy; all rights</footer></body></html>"
