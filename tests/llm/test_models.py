@@ -329,6 +329,11 @@ def test_words_by_arrow():
     of, code, words = M.words_of(pa.array(texts))
     want = [(k, w.decode()) for k, t in enumerate(texts) for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [b"\n"]]
     assert [(o, words[c].as_py()) for o, c in zip(of.tolist(), code.tolist())] == want
+    sizes = [3, 0, 5, 1, 1, 9, 2]
+    batch = pa.RecordBatch.from_arrays([pa.array([None if n == 0 else "x" * n for n in sizes])], ["text"])
+    M.SLICE, before = 5, M.SLICE
+    assert [b.num_rows for b in M._slices(iter([batch, batch.slice(0, 0)]))] == [2, 1, 2, 1, 1]
+    M.SLICE = before
     of, code, words = M.words_of(pa.array([], pa.string()))
     assert len(of) == len(code) == 0
 
