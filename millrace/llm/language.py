@@ -21,6 +21,8 @@ BLOCK = 1 << 20
 LANGUAGES = 128
 #: Documents under this posterior of their best language are rejected by filter_languages.
 LEAST_SCORE = 0.5
+#: A row belies its own language if another explains its n-grams better by so many nats each: foreign, not mixed, text.
+BELIED = 0.75
 UNKNOWN = "und"
 
 
@@ -148,10 +150,13 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def posteriors(texts: list[str], langs: list[str], prior: np.ndarray, logp: np.ndarray) -> tuple[list[str], list[float]]:
-    has_letter = np.array([any(map(str.isalpha, t)) for t in texts], bool)
     if not langs:
         return [UNKNOWN] * len(texts), [0.0] * len(texts)
-    s = log_scores(texts, logp) + prior
+    return _best(texts, langs, log_scores(texts, logp) + prior)
+
+
+def _best(texts: list[str], langs: list[str], s: np.ndarray) -> tuple[list[str], list[float]]:
+    has_letter = np.array([any(map(str.isalpha, t)) for t in texts], bool)
     best = s.argmax(1)
     score = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
     return [langs[b] if ok else UNKNOWN for b, ok in zip(best, has_letter)], [float(x) if ok else 0.0 for x, ok in zip(score, has_letter)]
@@ -184,8 +189,9 @@ def filter_languages(docs: DataFrame, least_score: float = LEAST_SCORE, language
     """docs whose language is recognised, with all columns; learned from docs' own lang.
 
     A row is rejected if its text is null or has no letter, if the best language's posterior is under least_score, if
-    that language is not among `languages` (where given), or if its own lang says another one. A null lang says none,
-    and one that is not learned (see train) says another. Rows that repeat a doc_id or have none are judged each.
+    that language is not among `languages` (where given), or if its own lang belies it: the best language's mean
+    log-probability of an n-gram is BELIED higher than the own one's. A null lang says nothing, and one that is not
+    learned (see train) belies every text. Rows that repeat a doc_id or have none are judged each.
     """
     model = train(docs)
     if not model[0]:
@@ -194,10 +200,19 @@ def filter_languages(docs: DataFrame, least_score: float = LEAST_SCORE, language
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, prior, logp = shared.value
+        number = {x: k for k, x in enumerate(langs)}
         for batch in batches:
-            preds, scores = posteriors([t or "" for t in batch.column(at).to_pylist()], *shared.value)
-            said = batch.column(own).to_pylist()
-            kept = [p != UNKNOWN and s >= least_score and (languages is None or p in languages) and said_ in (None, p) for p, s, said_ in zip(preds, scores, said)]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            # The last column counts the n-grams.
+            sums = log_scores(texts, np.hstack([logp, np.ones((len(logp), 1), logp.dtype)]))
+            preds, scores = _best(texts, langs, sums[:, :-1] + prior)
+            kept = []
+            for p, score, said, row in zip(preds, scores, batch.column(own).to_pylist(), sums):
+                good = p != UNKNOWN and score >= least_score and (languages is None or p in languages)
+                if good and said is not None:
+                    good = said in number and row[number[p]] - row[number[said]] < BELIED * row[-1]
+                kept.append(good)
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
